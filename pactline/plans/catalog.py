@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import feed, rollups
 from . import frames
-from . import q_aggs, q_sources  # noqa: F401
+from . import q_aggs, q_outputs, q_sources, q_text  # noqa: F401
 from .registry import QUERIES, SQL, tuned
 
 __all__ = ["QUERIES", "SQL", "flagship"]
