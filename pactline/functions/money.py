@@ -30,14 +30,17 @@ def figure_value(matched: Column) -> Column:
 def figures(text: Column) -> Column:
     """array<struct<start, end, value>> of every dollar figure, offsets zero-based."""
     found = F.regexp_extract_all(text, F.lit(FIGURE), 0)
-    gaps = F.split(text, FIGURE, -1)
+    # lengths of the text between figures; a running sum over both gives the offsets in one pass
+    gaps = F.transform(F.split(text, FIGURE, -1), F.length)
+    empty = F.array().cast("array<struct<start:int,end:int,value:double>>")
 
-    def span(m: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(
-            F.array_join(F.slice(found, 1, i), ""))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), figure_value(m).alias("value"))
+    def step(acc: Column, x: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"]
+        span = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), figure_value(x["m"]).alias("value"))
+        return F.array_append(acc, span)
 
-    return F.when(F.instr(text, "$") > 0, F.transform(found, span)).otherwise(
+    pieces = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap")), lambda x: x["m"].isNotNull())
+    return F.when(F.instr(text, "$") > 0, F.aggregate(pieces, empty, step)).otherwise(
         F.array().cast("array<struct<start:int,end:int,value:double>>"))
 
 
@@ -51,9 +54,30 @@ def round_to(value: Column, step: float) -> Column:
     return F.bround(value / step) * F.lit(step)
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """Non-negative number below 2^53 with the given decimals, rounded half-even on its exact binary value.
+
+    (Formatting and rounding functions work on the shortest decimal form, so 1.275 would round up although the
+    double lies below the tie.)
+    """
+    ten = 10 ** decimals
+    whole = F.floor(value)
+    part = ((value - whole) * F.lit(float(2 ** 52))).cast("bigint") * ten
+    up, rest = F.shiftright(part, 52), part.bitwiseAND(2 ** 52 - 1)
+    up = F.when((rest > 2 ** 51) | ((rest == 2 ** 51) & ((whole * ten + up) % 2 == 1)), up + 1).otherwise(up)
+    whole, up = F.when(up >= ten, whole + 1).otherwise(whole), F.when(up >= ten, up - ten).otherwise(up)
+    text = whole.cast("string")
+    return F.concat(text, F.lit("."), F.lpad(up.cast("string"), decimals, "0")) if decimals else text
+
+
+def plain_number(value: Column, decimals: int) -> Column:
+    """`fixed` without trailing zeros."""
+    text = fixed(value, decimals)
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "") if decimals else text
+
+
 def _trimmed(value: Column) -> Column:
-    text = F.format_string("%.2f", value)
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    return plain_number(value, 2)
 
 
 def money_label(value: Column) -> Column:

@@ -41,7 +41,9 @@ def squash(text: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"(?s)<[a-zA-Z/!?][^>]*>", " ")
+    """Drop scripts, styles, comments and tags."""
+    t = F.regexp_replace(text, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
+    return F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[a-zA-Z/!?][^>]*>", " ")
 
 
 def html_text(value: Column) -> Column:

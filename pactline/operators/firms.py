@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hof import one_of, positions
+from ..functions.hof import let, one_of, positions
 from ..functions.money import FIGURE
 from ..rules import (ACRONYMS_NOT_FIRMS, EXTRA_WORDS, GENERIC_WORDS, GIVEN_NAMES, PLACE_NAMES, STOP_PHRASES,
                      SUBJECT_DOMINANCE, SUBJECT_VERBS, SURNAMES)
@@ -288,8 +288,8 @@ def firm_spans(text: Column) -> Column:
                         F.lower(w).isin("&", "of").alias("link"))
 
     described = F.transform(words, describe)
-    linked = F.transform(described, lambda d, i: F.struct(
-        d["w"], d["name"], d["ends"], (d["link"] & F.coalesce(F.get(described, i + 1)["cap"], F.lit(False))).alias("link")))
+    linked = let(described, lambda all_: F.transform(all_, lambda d, i: F.struct(
+        d["w"], d["name"], d["ends"], (d["link"] & F.coalesce(F.get(all_, i + 1)["cap"], F.lit(False))).alias("link"))))
     nothing = F.array().cast("array<string>")
     start = F.struct(nothing.alias("cur"), F.array().cast("array<array<string>>").alias("spans"))
 

@@ -28,10 +28,17 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.clean_link(F.col("url")).alias("link"))
 
 
-@job("clean_text", "SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(html,'<!--.*?-->',' ','gs'),'<[a-zA-Z/!?][^>]*>',' ','gs'),'&amp;','&'),'\\s+',' ','g')) AS body FROM pages "
-     "WHERE NOT regexp_matches(html, '&(#|lt;|gt;|quot;|nbsp;)')")
+_ENT = "html"
+for _tag in ("<script.*?</script>", "<style.*?</style>", "<!--.*?-->", "<[a-zA-Z/!?][^>]*>"):
+    _ENT = f"regexp_replace({_ENT},'{_tag}',' ','gs')"
+for _name, _char in text.ENTITIES.items():
+    if _name not in ("apos", "nbsp", "lt", "gt"):
+        _ENT = f"replace({_ENT},'&{_name};','{_char}')"
+
+
+@job("clean_text", f"SELECT page_id, trim(regexp_replace({_ENT},'\\s+',' ','g')) AS body FROM pages WHERE NOT regexp_matches(html, '&(#|lt;|gt;|apos;|nbsp;)')")
 def _(spark, sf):
-    p = table(spark, sf, "pages").where(~F.col("html").rlike("&(?:#|lt;|gt;|quot;|nbsp;)"))
+    p = table(spark, sf, "pages").where(~F.col("html").rlike("&(?:#|lt;|gt;|apos;|nbsp;)"))
     return p.select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
@@ -289,10 +296,10 @@ def _(spark, sf):
     return p.groupBy((F.floor(F.col("score") / 10) * 10).alias("score_band")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@job("sim_block_pairs", "WITH b AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))) AS t FROM lineitem GROUP BY 1) "
+@job("sim_block_pairs", "WITH b AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS t FROM lineitem GROUP BY 1) "
      "SELECT least(x.id,y.id) AS a, greatest(x.id,y.id) AS b FROM b x JOIN b y ON x.id<y.id AND x.id//2000=y.id//2000 AND x.t<>y.t AND len(list_intersect(x.t,y.t))>=2")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).alias("toks"))
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("s"), F.col("l_partkey").cast("string")))).alias("toks"))
     empty = F.array().cast("array<string>")
     # one slot per key range; the shared-slot rule of the blocking step also pairs neighbours, which are cut here
     s = l.select(F.concat_ws(":", (F.floor(F.col("l_orderkey") / 2000)).cast("string"), F.col("l_orderkey").cast("string")).alias("sig"), (F.floor(F.col("l_orderkey") / 2000) * 2).alias("slot"),
