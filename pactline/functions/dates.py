@@ -14,8 +14,25 @@ _ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-
           "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
-def _instant(text: Column, *formats: str) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+# layouts by shape; a layout is tried only on text of its shape, since a failed parse is expensive
+_SHAPES = [
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d [+-]\d{4}$", "d MMM yyyy HH:mm:ss Z", True),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d [+-]\d{4}$", "d MMM yyyy HH:mm Z", True),
+    (r"^\d{1,2} [A-Za-z]{3} \d\d \d\d:\d\d:\d\d [+-]\d{4}$", "d MMM yy HH:mm:ss Z", True),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d [+-]\d{4}$", "yyyy-MM-dd HH:mm:ss Z", True),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d [+-]\d{4}$", "yyyy-MM-dd HH:mm Z", True),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss", False),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d$", "yyyy-MM-dd HH:mm", False),
+    (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd", False),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d$", "d MMM yyyy HH:mm:ss", False),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d$", "d MMM yyyy HH:mm", False),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy", False),
+]
+
+
+def _instant(text: Column, zoned: bool) -> Column:
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
+                        for shape, layout, has_zone in _SHAPES if has_zone == zoned])
 
 
 def parse_date(value: Column, zone: str = LOCAL_ZONE) -> Column:
@@ -26,15 +43,12 @@ def parse_date(value: Column, zone: str = LOCAL_ZONE) -> Column:
     v = F.regexp_replace(v, r"([+-]\d\d):(\d\d)$", "$1$2")
     v = F.regexp_replace(v, r"(?i)^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)(?:[.,]\d+)?\s*", "$1 $2 ")
     v = F.trim(F.regexp_replace(v, r"\s+", " "))
-    zoned = _instant(v, "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z",
-                     "yyyy-MM-dd HH:mm:ss Z", "yyyy-MM-dd HH:mm Z")
-    naive = _instant(v, "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss",
-                     "d MMM yyyy HH:mm", "d MMM yyyy")
+    zoned, naive = _instant(v, True), _instant(v, False)
     month = F.initcap(F.lower(F.regexp_extract(v, _HUMAN, 1)))
-    human = F.try_to_timestamp(
-        F.concat_ws(" ", F.regexp_extract(v, _HUMAN, 2), month, F.regexp_extract(v, _HUMAN, 3)), F.lit("d MMM yyyy"))
-    numeric = F.try_to_timestamp(
-        F.concat_ws("/", *[F.regexp_extract(v, _NUMERIC, i) for i in (1, 2, 3)]), F.lit("M/d/yyyy"))
+    human = F.when(month != "", F.try_to_timestamp(
+        F.concat_ws(" ", F.regexp_extract(v, _HUMAN, 2), month, F.regexp_extract(v, _HUMAN, 3)), F.lit("d MMM yyyy")))
+    numeric = F.when(v.rlike(_NUMERIC), F.try_to_timestamp(
+        F.concat_ws("/", *[F.regexp_extract(v, _NUMERIC, i) for i in (1, 2, 3)]), F.lit("M/d/yyyy")))
     return F.coalesce(zoned, F.to_utc_timestamp(F.coalesce(naive, human, numeric), zone))
 
 

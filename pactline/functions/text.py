@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hof import let
+
 # fixed values: entities that feeds use in headlines; numeric entities are decoded by rule
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–",
@@ -22,6 +24,10 @@ _MORE = r"(?i)\s*(?:\[(?:…|\.\.\.|&#8230;)\]|Read more\W*|Continue reading\W*|
 
 def unescape(text: Column) -> Column:
     """Decode named entities and numeric character references."""
+    return let(text, lambda t: F.when(F.instr(t, "&") > 0, _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
     pieces = F.split(text, r"(?=&#[xX]?[0-9A-Fa-f]{1,6};)|(?<=;)", -1)
 
     def numeric(p: Column) -> Column:
@@ -32,8 +38,7 @@ def unescape(text: Column) -> Column:
         return F.when(code.isNull() | (code == 0) | (code > 0x10FFFF), p).otherwise(wide)
 
     decoded = F.when(F.instr(text, "&#") > 0, F.array_join(F.transform(pieces, numeric), "")).otherwise(text)
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), decoded)
-    return F.when(F.instr(text, "&") > 0, named).otherwise(text)
+    return reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), decoded)
 
 
 def squash(text: Column) -> Column:
@@ -75,21 +80,34 @@ def _quoted(name: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
 
 
+_SUFFIX_MARK = r"\s+[|\-–—:]\s+"
+
+
+def _without_suffix(title: Column, name: Column, mark: str, dot_com: bool) -> Column:
+    """Title without '<mark> name' at its end. The split is a fixed pattern; only a name that itself holds a mark
+    needs a pattern built from the row."""
+    def drop(t: Column) -> Column:
+        cut = r"(?s)^(.*\S)" + mark + r"(.*?)\s*$"
+        tail = F.lower(F.regexp_extract(t, cut, 2))
+        same = tail.isin(F.lower(name), F.lower(F.concat(name, F.lit(".com")))) if dot_com else tail == F.lower(name)
+        built = F.concat(F.lit("(?i)" + mark), _quoted(name), F.lit((r"(?:\.com)?" if dot_com else "") + r"\s*$"))
+        return (F.when(F.coalesce(name, F.lit("")) == "", t)
+                .when(name.rlike(mark), F.regexp_replace(t, built, F.lit("")))
+                .when(same, F.regexp_replace(t, cut, "$1")).otherwise(t))
+
+    return let(title, drop)
+
+
 def strip_source_suffix(title: Column, source: Column) -> Column:
     """Drop a trailing '| Outlet' when it names the row's own source (full, unspaced or first word)."""
-    def drop(t: Column, name: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?i)\s+[|\-–—:]\s+"), _quoted(name), F.lit(r"(?:\.com)?\s*$"))
-        return F.when(F.coalesce(name, F.lit("")) == "", t).otherwise(F.regexp_replace(t, pattern, F.lit("")))
-
-    t = drop(title, source)
-    t = drop(t, F.replace(source, F.lit(" "), F.lit("")))
-    return F.trim(drop(t, F.split(source, " ")[0]))
+    t = _without_suffix(title, source, _SUFFIX_MARK, True)
+    for other in (F.replace(source, F.lit(" "), F.lit("")), F.split(source, " ")[0]):
+        t = _without_suffix(t, other, _SUFFIX_MARK, True)
+    return F.trim(t)
 
 
 def strip_outlet_suffix(title: Column, outlet: Column) -> Column:
-    pattern = F.concat(F.lit(r"(?i)\s+[-–—|]\s+"), _quoted(outlet), F.lit(r"\s*$"))
-    return F.when(F.coalesce(outlet, F.lit("")) == "", title).otherwise(
-        F.trim(F.regexp_replace(title, pattern, F.lit(""))))
+    return F.trim(_without_suffix(title, outlet, r"\s+[-–—|]\s+", False))
 
 
 def slug(text: Column) -> Column:

@@ -18,7 +18,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # headline parsing is heavy per byte, so small shuffles may still spread over all cores
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32KB")
     return spark
 
 

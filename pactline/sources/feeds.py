@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, urls
-from ..functions.hof import positions
+from ..functions.hof import let, positions
 from ..functions.text import (clean_description, clean_title, html_text, squash, strip_outlet_suffix, strip_source_suffix,
                               unescape)
 
@@ -44,7 +44,9 @@ def to_items(entries: DataFrame, fetched_at: Column, source: Column, gated: Colu
     Entries without a title or an http link are dropped; a teaser that repeats the full body is discarded, and gated
     outlets keep no teaser.
     """
-    e = entries.withColumn("title", strip_source_suffix(clean_title(F.col("title")), source)).where(
+    e = entries.withColumn("title", strip_source_suffix(clean_title(F.col("title")), source)).withColumn(
+        "_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) &  # filters stay above the cleaning
+        
         (F.col("title") != "") & F.col("link").rlike("^https?://"))
     when = dates.published_or_fetched(dates.parse_date(F.col("date"), zone), fetched_at)
     body = F.trim(F.coalesce("description", F.lit(""))) == F.trim(F.coalesce("content", F.lit("\u0000")))
@@ -61,9 +63,8 @@ def attributed(entries: DataFrame, outlet: Column, homepage: Column, fetched_at:
     want, got = urls.bare_host(homepage), urls.bare_host(F.coalesce("origin_url", F.lit("")))
     dot = F.lit(".")
     same = (want == "") | (got == "") | (got == want) | F.endswith(got, F.concat(dot, want)) | F.endswith(want, F.concat(dot, got))
-    first = strip_outlet_suffix(clean_title(F.col("title")), F.coalesce("origin", F.lit("")))
-    second = strip_outlet_suffix(clean_title(F.col("title")), outlet)
-    title = F.when(first != clean_title(F.col("title")), first).otherwise(second)
+    title = let(clean_title(F.col("title")), lambda t: let(strip_outlet_suffix(t, F.coalesce("origin", F.lit(""))), lambda first: F.when(
+        first != t, first).otherwise(strip_outlet_suffix(t, outlet))))
     when = dates.published_or_fetched(dates.parse_date(F.col("date"), zone), fetched_at)
     e = entries.withColumn("keep", same).withColumn("_when", when).withColumn("title", title)
     return e.select("*", outlet.alias("outlet"), attribution_key(outlet, F.col("_when.at"), F.col("title")).alias("key"))
