@@ -12,13 +12,13 @@ from ..rules import DEFAULT_INDUSTRY, INDUSTRIES
 
 def _pattern(phrases: tuple[str, ...]) -> str:
     """Phrases on word boundaries; '&' counts as part of a word. 're:' marks a raw pattern."""
-    parts = []
-    for p in phrases:
-        if p.startswith("re:"):
-            parts.append(f"(?:{p[3:]})")
-        else:
-            parts.append(r"(?<![\w&])" + r"\s+".join(re.escape(w) for w in p.split()) + r"(?![\w&])")
-    return "(?iU)" + "|".join(parts)
+    raw = [f"(?:{p[3:]})" for p in phrases if p.startswith("re:")]
+    plain = [r"\s+".join(re.escape(w) for w in p.split()) for p in phrases if not p.startswith("re:")]
+    parts = raw
+    if plain:  # one boundary test for the whole list, so most positions fail at once
+        edge = r"[\p{L}\p{N}_&]"
+        parts = [rf"(?<!{edge})(?:{'|'.join(plain)})(?!{edge})", *raw]
+    return "(?i)" + "|".join(parts)
 
 
 def hits(text: Column, rules=INDUSTRIES) -> Column:
