@@ -33,7 +33,7 @@ def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def feed_validity(spark: SparkSession, path: str) -> DataFrame:
     """(file, is_feed): the root element is a feed element."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     body = F.regexp_replace("value", r"(?s)^\s*(?:\x{FEFF})?(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*", "")
     return raw.select("file", body.rlike(r"(?i)^<(?:rss|feed|rdf:RDF)[\s>]").alias("is_feed"))
 
