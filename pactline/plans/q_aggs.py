@@ -11,8 +11,8 @@ from ..sources import advisers as adv_src
 from ..sources import feeds
 from . import frames, shared
 from .frames import table
-from .oracle import _ZIP, MONDAY, NOW_TS, PREV_TS, START, TODAY, day, q, ts
-from .registry import big, job, joined
+from .oracle import _ZIP, MONDAY, NOW_TS, START, TODAY, day, q, ts
+from .registry import job, joined
 from .registry import ts as sts
 
 _Z3 = "z3 AS (SELECT substr(zip,1,3) AS zip3, avg(lat) AS lat, avg(lon) AS lon FROM zp GROUP BY 1)"
