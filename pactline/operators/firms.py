@@ -155,7 +155,7 @@ def resolve_curated(curated: DataFrame, advisers: DataFrame) -> DataFrame:
     names = advisers.select("crd", F.explode(F.array_compact(F.array("legal_name", "business_name"))).alias("nm")).select(
         normal_name(F.col("nm")).alias("key"), "crd").groupBy("key").agg(F.min("crd").alias("crd"))
     c = curated.select("alias", normal_name(F.col("target")).alias("key"), normal_name(F.col("alias")).alias("norm"))
-    return F.broadcast(c).join(names, "key", "left").select("alias", "norm", "crd")
+    return c.join(names, "key", "left").select("alias", "norm", "crd")
 
 
 def dictionary(advisers: DataFrame, curated: DataFrame | None = None, words: DataFrame | None = None,

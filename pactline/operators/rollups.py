@@ -16,6 +16,7 @@ from ..functions.money import round_to
 from ..functions.text import slug
 from ..functions.urls import clean_link
 from ..rules import AUM_INDUSTRIES, WEALTH
+from ..session import small_side
 from .deals import STAGE_RANK, stage_rank
 from .firms import pretty_name
 from .industry import in_rule_order, union_of
@@ -39,7 +40,7 @@ def cluster_rollup(items: DataFrame, by: str = "component") -> DataFrame:
 
 def without_sources(items: DataFrame, excluded: DataFrame) -> DataFrame:
     """Remove excluded outlets before any story aggregate."""
-    return items.join(F.broadcast(excluded), "source", "left_anti")
+    return items.join(small_side(excluded), "source", "left_anti")
 
 
 def cluster_aum(items: DataFrame, by: str = "component") -> DataFrame:
@@ -179,7 +180,7 @@ def snapshot(items: DataFrame, links: DataFrame, advisers: DataFrame, sources: D
     """Story rows with nested outlets, firms, states and deal. All aggregates share the story key, so after the
     first shuffle the joins between them reuse the same partitioning."""
     kinds = sources.select(F.col("name").alias("source"), "kind")
-    outlets = first_links(items, by).join(F.broadcast(kinds), "source", "left").groupBy(by).agg(
+    outlets = first_links(items, by).join(small_side(kinds), "source", "left").groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct("published_at", "id", F.col("source").alias("name"), "url", "kind")))
         .alias("outlets"))
     view = firm_view(advisers).select("crd", F.col("name").alias("full"), "slug", "city", "state")

@@ -304,11 +304,7 @@ def _(spark, sf):
     a = frames.advisers(spark, sf)
     even = F.col("crd").cast("bigint") % 2 == 0
     curated = a.select(F.split("business_name", " ")[0].alias("alias"), F.when(even, F.col("legal_name")).otherwise("No such adviser").alias("target"))
-    names = a
-    c = curated.select("alias", firms.normal_name(F.col("target")).alias("key"))
-    n = names.select("crd", F.explode(F.array("legal_name", "business_name")).alias("nm")).select(
-        firms.normal_name(F.col("nm")).alias("key"), "crd").groupBy("key").agg(F.min("crd").alias("crd"))
-    return c.join(n, "key", "left").select("alias", "crd")
+    return firms.resolve_curated(curated, a).select("alias", "crd")
 
 
 _LOC = "SELECT crd, CASE WHEN z.zip IS NOT NULL THEN 'exact' ELSE 'zip3' END AS placed_by, round(coalesce(z.lat, z3.lat),6) AS lat, round(coalesce(z.lon, z3.lon),6) AS lon FROM adv LEFT JOIN zp z USING (zip) LEFT JOIN z3 ON z3.zip3=substr(adv.zip,1,3) WHERE NOT abroad AND coalesce(z.lat, z3.lat) IS NOT NULL"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, urls
 from ..functions.hof import let, positions
+from ..session import small_side
 from ..functions.text import (clean_description, clean_title, html_text, squash, strip_outlet_suffix, strip_source_suffix,
                               unescape)
 
@@ -150,7 +151,7 @@ def new_only(items: DataFrame, stored: DataFrame, key: str = "canonical_url") ->
 def within_age(items: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """Drop items older than their outlet allows (0 = no limit)."""
     s = sources.select(F.col("name").alias("source"), "max_age_days")
-    j = items.join(F.broadcast(s), "source")
+    j = items.join(small_side(s), "source")
     return j.where((F.col("max_age_days") == 0) | (
         F.col("published_at") >= now - F.make_dt_interval(F.col("max_age_days")))).drop("max_age_days")
 
