@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once per session, unless their path holds it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    key = "pactline.shipped"
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get(key, None) == spark.sparkContext.applicationId:
+        return spark
+    package = os.path.join(root, "pactline")
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "pactline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set(key, spark.sparkContext.applicationId)
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, name)
@@ -33,7 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

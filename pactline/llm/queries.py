@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_ranking
+from . import line_spread, near_dedup, quality_ranking
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,29 @@ def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {"op8_quality_ranking": op8_quality_ranking}
-SQL: dict[str, str] = {}
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "utf-8")).alias("kept_md5"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), size=4)
+
+
+LINE_SQL = """
+WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
+    unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+n AS (SELECT doc_id, site, raw, trim(raw, ' ') AS line, pos FROM l),
+b AS (SELECT line, min(doc_id) AS d, arg_min(pos, (doc_id, pos)) AS p FROM n WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {sites}),
+k AS (SELECT n.*, b.line IS NOT NULL AND NOT (n.doc_id = d AND n.pos = p) AS gone FROM n LEFT JOIN b USING (line)),
+c AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM c
+"""
+
+QUERIES: dict[str, Query] = {
+    "op4_near_dedup": op4_near_dedup,
+    "op7_line_spread": op7_line_spread,
+    "op8_quality_ranking": op8_quality_ranking,
+}
+SQL: dict[str, str] = {"op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
