@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, near_dedup, quality_ranking
+from . import best_fit_packing, line_spread, near_dedup, quality_ranking, token_transducer
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=4)
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op10_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 LINE_SQL = """
 WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
     unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -44,5 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_near_dedup": op4_near_dedup,
     "op7_line_spread": op7_line_spread,
     "op8_quality_ranking": op8_quality_ranking,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_transducer": op10_token_transducer,
 }
 SQL: dict[str, str] = {"op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
