@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, line_spread, near_dedup, quality_ranking, token_transducer
+from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, token_transducer
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=4)
 
 
+def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), phrase_index.contaminated().alias("contaminated"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -54,11 +60,29 @@ c AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (g
 SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM c
 """
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+PHRASE_SQL = f"""
+WITH it AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+wi AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM it WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, list_slice(w, i, i + k - 1) AS g FROM wi),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+dw AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+m AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS g FROM dw) JOIN win USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op4_near_dedup": op4_near_dedup,
+    "op6_phrase_index": op6_phrase_index,
     "op7_line_spread": op7_line_spread,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_transducer": op10_token_transducer,
 }
-SQL: dict[str, str] = {"op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
+SQL: dict[str, str] = {"op6_phrase_index": PHRASE_SQL, "op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
