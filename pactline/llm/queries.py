@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, token_transducer
+from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, token_transducer, topk_search, warc_revisits
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "utf-8")).alias("kept_md5"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisits.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=4)
 
@@ -60,6 +68,20 @@ c AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (g
 SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM c
 """
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, max(page_id) AS o FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN o.o <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN o.o <> page_id THEN o.o END AS refers_to FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 1000
+"""
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 PHRASE_SQL = f"""
@@ -78,11 +100,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_topk_search": op2_topk_search,
     "op4_near_dedup": op4_near_dedup,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_phrase_index": op6_phrase_index,
     "op7_line_spread": op7_line_spread,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_transducer": op10_token_transducer,
 }
-SQL: dict[str, str] = {"op6_phrase_index": PHRASE_SQL, "op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
+SQL: dict[str, str] = {"op2_topk_search": TOPK_SQL, "op5_warc_revisits": WARC_SQL, "op6_phrase_index": PHRASE_SQL, "op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
