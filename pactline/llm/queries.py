@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, token_transducer, topk_search, warc_revisits
+from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, secret_scan, token_transducer, topk_search, toxic_channel, warc_revisits
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,23 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "utf-8")).alias("kept_md5"))
 
 
+def op1_toxic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic_channel.fit(docs, table(spark, sf_dir, "labels"))
+    return toxic_channel.score_documents(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
+                      secret_scan.joined("spans").alias("spans"), "n_random")
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisits.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -100,7 +113,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_toxic_channel": op1_toxic_channel,
     "op2_topk_search": op2_topk_search,
+    "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_phrase_index": op6_phrase_index,
