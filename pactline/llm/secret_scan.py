@@ -5,7 +5,7 @@ is inferred (hex, base32, lower-case alphanumeric or base64) and three tests ask
 chi-squared for a uniform alphabet (Wilson-Hilferty), runs above and below the middle of the alphabet, and serial correlation
 at lag one. Fisher's method combines them to the chance p that a random key looks as odd as this. Random keys spread p evenly
 and ordinary tokens crowd near zero, so in each encoding and length band the keys are counted from the upper half of the p
-scale, and the lowest cut whose estimated share of ordinary tokens stays within `fdr` is taken. Candidates above the cut that
+scale, and the lowest cut is taken above which the estimated share of ordinary tokens stays within `fdr`. Candidates above the cut that
 touch no base span are added.
 
 Positions count code points: what stands before a match is the sum of the pieces and matches before it.
@@ -30,7 +30,9 @@ KINDS = ["assign", "access", "hex", "random"]
 # A token that starts where no token character stands before, holds a digit and a letter, and has 16 characters or more.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
 FDR = 0.05
-P_BINS = 20
+# A bin of p that by itself holds more ordinary tokens than this share ends the accepted range (fine bins near zero see them).
+LOCAL = 0.5
+EDGES = [0.0, 1e-8, 1e-6, 1e-4, 1e-3, 0.01, *[k / 20 for k in range(1, 20)]]
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
@@ -96,15 +98,21 @@ def battery(tokens: DataFrame) -> DataFrame:
 
 def cuts(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     """(enc, band, cut) from distinct tokens: the lowest bin of p above which the estimated share of ordinary tokens is at most `fdr`."""
-    bins = tested.groupBy("enc", "band", F.least(F.floor(F.col("p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    # at most P_BINS rows for each encoding and band from here on
+    edge = F.array(*[F.lit(e) for e in EDGES])
+    at = sum(((F.col("p") >= e).cast("int") for e in EDGES[1:]), F.lit(0))
+    bins = tested.groupBy("enc", "band", at.alias("bin")).agg(F.count("*").alias("n"))
+    # at most len(EDGES) rows for each encoding and band from here on
     down = Window.partitionBy("enc", "band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("enc", "band")
-    upper = F.sum(F.when(F.col("bin") >= P_BINS // 2, F.col("n")).otherwise(0)).over(whole)
-    above = F.sum("n").over(down)
-    expected = upper * 2 * (1 - F.col("bin") / P_BINS)  # keys spread evenly: the upper half of the scale holds half of them
-    ok = bins.withColumn("share", 1 - F.least(expected / above, F.lit(1.0))).withColumn("ok", F.col("share") <= fdr)
-    return ok.where("ok").groupBy("enc", "band").agg((F.min("bin") / P_BINS).alias("cut"))
+    bins = bins.withColumn("low", F.element_at(edge, F.col("bin") + 1)).withColumn("high", F.coalesce(F.try_element_at(edge, F.col("bin") + 2), F.lit(1.0)))
+    # keys spread evenly, so the upper half of the scale holds half of them
+    keys = 2 * F.sum(F.when(F.col("low") >= 0.5, F.col("n")).otherwise(0)).over(whole)
+    above, even, own = F.sum("n").over(down), keys * (1 - F.col("low")), keys * (F.col("high") - F.col("low"))
+    # an excess counts when it is more than chance: two standard errors for the range above a cut, three for a single bin
+    wide = ((above - even) / above > fdr) & (above - even > 2 * F.sqrt(even))
+    dense = ((F.col("n") - own) / F.col("n") > LOCAL) & (F.col("n") - own > 3 * F.sqrt(own) + 0.5)
+    judged = bins.withColumn("bad", ((F.col("low") < 0.5) & (wide | dense)).cast("int"))
+    return judged.withColumn("bad", F.max("bad").over(down)).where("bad = 0").groupBy("enc", "band").agg(F.min("low").alias("cut"))
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:

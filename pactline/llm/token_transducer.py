@@ -210,7 +210,7 @@ _COMPILED: dict[str, Transducer] = {}
 
 def transducer(path: str) -> Transducer:
     """One transducer for each worker; it starts anew when very many states have been compiled."""
-    if path not in _COMPILED or len(_COMPILED[path].states) > 400_000:
+    if path not in _COMPILED or len(_COMPILED[path].states) > 250_000:
         _COMPILED[path] = Transducer.from_model(path)
     return _COMPILED[path]
 
