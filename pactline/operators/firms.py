@@ -377,15 +377,19 @@ def watch_tokens(text: Column) -> Column:
 
 
 def watch_hits(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, name) pairs whose text holds a watch term on word boundaries (token n-gram equi-join)."""
+    """(key, name) pairs whose text holds a watch term on word boundaries.
+
+    Only tokens that start a term are expanded, to the lengths of the terms they start, and joined on the whole term.
+    """
     t = terms.select("name", F.array_join(watch_tokens(F.col("term")), " ").alias("gram"), F.size(
         watch_tokens(F.col("term"))).alias("n"))
-    lengths = [r[0] for r in t.select("n").distinct().limit(100).collect()]
+    t = t.where("n > 0")
+    heads = t.groupBy(F.substring_index("gram", " ", 1).alias("head")).agg(F.collect_set("n").alias("lengths"))
     toks = texts.select(key, watch_tokens(F.col(text)).alias("o"))
-    grams = toks.select(key, F.explode(F.array_distinct(F.flatten(F.transform(
-        positions(F.col("o")), lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.when(
-            i + n <= F.size("o"), F.array_join(F.slice("o", i + 1, n), " "))))))).alias("gram"))
-    return grams.where(F.col("gram").isNotNull()).join(small_side(t.select("name", "gram")), "gram").select(key, "name").distinct()
+    starts = toks.select(key, "o", F.posexplode("o").alias("i", "head")).join(small_side(heads), "head")
+    grams = starts.select(key, "o", "i", F.explode("lengths").alias("n")).where(F.col("i") + F.col("n") <= F.size("o")).select(
+        key, F.array_join(F.slice("o", F.col("i") + 1, F.col("n")), " ").alias("gram"))
+    return grams.join(small_side(t.select("name", "gram")), "gram").select(key, "name").distinct()
 
 
 def watch_advisers(terms: DataFrame, advisers: DataFrame) -> DataFrame:
@@ -415,8 +419,3 @@ def quality(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataF
     rc = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(1.0)
     f1 = F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0)
     return c.select("tp", "fp", "fn", F.round(pr, 3).alias("precision"), F.round(rc, 3).alias("recall"), F.round(f1, 3).alias("f1"))
-
-
-def first_per_item(links: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("pos", "firm_key")
-    return links.withColumn("n", F.row_number().over(w))

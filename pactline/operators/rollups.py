@@ -132,7 +132,7 @@ def with_target_aum(deals: DataFrame, legacy: DataFrame, by: str = "component")
 
 
 def purge(items: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Stored rows that no longer announce a deal are removed."""
+    """Stored rows that no longer announce a deal are removed; `items` may be the stored items or their firm rows (by `id`)."""
     return items.join(parsed.select("id"), "id", "left_semi")
 
 
@@ -146,8 +146,9 @@ def first_links(items: DataFrame, by: str = "component") -> DataFrame:
 
 
 def headline_pick(items: DataFrame, by: str = "component") -> DataFrame:
-    w = Window.partitionBy(by).orderBy("published_at", "id")
-    return items.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(by, "id", "title", "source")
+    """The earliest headline of each story, kept with partial aggregates."""
+    first = items.groupBy(by).agg(F.min_by(F.struct("id", "title", "source"), F.struct("published_at", "id")).alias("f"))
+    return first.select(by, "f.*")
 
 
 def firm_order(links: DataFrame, by: str = "component") -> DataFrame:
@@ -342,7 +343,3 @@ def item_aum(items: DataFrame) -> DataFrame:
     price = F.col("deal.value_usd")
     same = price.isNotNull() & (round_to(aum, 1e5) == round_to(price, 1e5))
     return items.withColumn("aum_usd", F.when(fits & ~F.coalesce(same, F.lit(False)), aum))
-
-
-def industries_in_order(names: Column) -> Column:
-    return in_rule_order(names)

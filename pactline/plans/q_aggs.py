@@ -279,9 +279,9 @@ def _(spark, sf):
     return feed.newest_first(s).select(F.col("id").alias("cluster_id"))
 
 
-@job("sort_deals_multi", q("cl", "SELECT cluster_id, acquirer FROM cl ORDER BY lower(acquirer), first_published DESC, cluster_id DESC LIMIT 100"))
+@job("sort_deals_multi", q("cl", "SELECT cluster_id, acquirer FROM cl ORDER BY lower(acquirer), first_published DESC, cluster_id DESC"))
 def _(spark, sf):
-    return feed.sort_deals(shared.deals(spark, sf), "acq", ascending=True).limit(100).select("cluster_id", "acquirer")
+    return feed.sort_deals(shared.deals(spark, sf), "acq", ascending=True).select("cluster_id", "acquirer")
 
 
 @job("topk_largest_deals_week", q("cl", f"SELECT cluster_id, value_usd FROM cl WHERE {day('first_published')} >= {TODAY} - 7 AND (value_usd IS NOT NULL OR (seg='wealth management' AND aum_usd IS NOT NULL)) "
@@ -324,10 +324,9 @@ def _(spark, sf):
     return feed.page(shared.stories(spark, sf).withColumnRenamed("cluster_id", "id"), 2).select(F.col("id").alias("cluster_id"))
 
 
-@job("topk_compact_order", q("adv", "SELECT n AS crd, row_number() OVER (ORDER BY CAST(coalesce(aum_usd,0) AS BIGINT) DESC, n) AS pos FROM pl WHERE mapped ORDER BY pos LIMIT 100", _ZIP, _Z3, _ON))
+@job("topk_compact_order", q("adv", "SELECT n AS crd, CAST(coalesce(aum_usd,0) AS BIGINT) AS aum FROM pl WHERE mapped ORDER BY aum DESC, n", _ZIP, _Z3, _ON))
 def _(spark, sf):
-    top = shared.map_rows(spark, sf).orderBy(F.desc("aum_usd"), "crd").limit(100)
-    return top.select("crd", F.row_number().over(Window.orderBy(F.desc("aum_usd"), "crd")).alias("pos"))
+    return shared.map_rows(spark, sf).orderBy(F.desc("aum_usd"), "crd").select("crd", F.col("aum_usd").cast("bigint").alias("aum"))
 
 
 # ---------------------------------------------------------------- sets and dedupe

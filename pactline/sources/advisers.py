@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,30 +53,32 @@ def latest_file(files: DataFrame, name: str = "name") -> DataFrame:
     return file_dates(files, name).agg(F.max_by(name, "data_date").alias(name), F.max("data_date").alias("data_date"))
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> tuple[str, int]:
-    """Delimiter and zero-based header line from the first 20 lines of the file."""
-    lines = [r[0] for r in spark.read.text(path).limit(20).collect()]
-    best = max([",", "|", "\t"], key=(lines[0] if lines else "").count)
-    for i, line in enumerate(lines):
+def sniff_header(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Delimiter and header line from the first 20 lines of the first file (by name); the first line when none looks like one."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"))
+    first = lines.agg(F.min("f")).first()[0]
+    top = [r[0] for r in lines.where(F.col("f") == first).limit(20).collect()]
+    for line in top:
         sep = max([",", "|", "\t"], key=line.count)
-        keys = {header_key(h) for h in line.lstrip("﻿").split(sep)}
+        keys = {header_key(h) for h in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])}
         if any(k in HEADERS["crd"] or k.endswith("crd#") for k in keys) and keys & set(HEADERS["legal_name"] + HEADERS["business_name"]):
-            return sep, i
-    return best, 0
+            return sep, line
+    head = next((x for x in top if x.strip()), "")
+    return max([",", "|", "\t"], key=head.count), head
 
 
 def read_adviser_file(spark: SparkSession, path: str, data_date: str) -> DataFrame:
-    """Delimited adviser extract -> typed adviser rows."""
-    sep, line = sniff_delimiter(spark, path)
-    raw = spark.read.option("sep", sep).option("header", line == 0).option("multiLine", False).csv(path)
-    if line:
-        head = spark.read.option("sep", sep).csv(path).limit(line + 1).collect()[line]
-        names = [h or f"_c{i}" for i, h in enumerate(head)]
-        raw = spark.read.option("sep", sep).csv(path)
-        raw = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
-        return advisers_from_table(raw, dict(zip(raw.columns, names)), data_date)
-    return advisers_from_table(raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]),
-                               dict(zip([f"c{i}" for i in range(len(raw.columns))], raw.columns)), data_date)
+    """Delimited adviser extract -> typed adviser rows.
+
+    Lines are read as text and split by the header's columns, so blank, short or foreign lines before the header (or a header
+    in each file of a folder) do no harm: what holds no name and number is dropped with the other nameless rows.
+    """
+    sep, head = sniff_header(spark, path)
+    names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep), [])
+    columns = [f"c{i}" for i in range(max(1, len(names)))]
+    lines = spark.read.text(path).where((F.col("value") != head) & (F.trim("value") != ""))
+    raw = lines.select(F.from_csv("value", ", ".join(f"{c} string" for c in columns), {"sep": sep}).alias("r")).select("r.*")
+    return advisers_from_table(raw, dict(zip(columns, names, strict=False)), data_date)
 
 
 def number(value: Column) -> Column:

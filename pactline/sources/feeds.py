@@ -154,11 +154,3 @@ def within_age(items: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     j = items.join(small_side(s), "source")
     return j.where((F.col("max_age_days") == 0) | (
         F.col("published_at") >= now - F.make_dt_interval(F.col("max_age_days")))).drop("max_age_days")
-
-
-def plain_text(html: Column) -> Column:
-    return squash(html_text(html))
-
-
-def non_empty(items: Column) -> Column:
-    return F.size(positions(items)) > 0

@@ -68,7 +68,7 @@ def test_story_edges_equal_brute_force(spark):
     rng = random.Random(3)
     base = datetime(2026, 9, 20)
     heads = ["Acme Capital to acquire Beta Wealth for $5M", "Acme Capital buys Beta Wealth", "Gamma Bank completes merger with Delta Trust",
-             "Gamma Bank and Delta Trust complete merger", "Omega sells unit to Sigma", "Totally different story about weather"]
+             "Gamma Bank and Delta Trust complete merger", "Omega sells unit to Sigma", "Totally different story about weather", "Layoffs", "The And Of"]
     rows = [(i, f"s{rng.randint(1, 3)}", base + timedelta(hours=rng.randint(0, 240)), rng.choice(heads), []) for i in range(60)]
     items = _items(spark, rows)
     got = {r.id: r.component for r in graph.with_components(items, similarity.story_edges(items)).collect()}
@@ -109,3 +109,12 @@ def test_private_overlap_short_and_long_words(spark):
     priv = spark.createDataFrame([(10, "quick brown fox jumps over the lazy dog again"), (11, long_word), (12, "too short")], "private_id int, p string")
     got = {tuple(r) for r in quality.private_overlap(pub, "k", "t", priv, "p").collect()}
     assert got == {(1, 10), (2, 11)}
+
+
+def test_watch_terms_of_many_lengths(spark):
+    from pactline.operators import firms
+
+    words = [f"w{i}" for i in range(130)]
+    terms = spark.createDataFrame([(f"n{k}", " ".join(words[:k])) for k in range(1, 131)], "name string, term string")
+    texts = spark.createDataFrame([(1, "x " + " ".join(words)), (2, " ".join(words[1:]))], "id int, text string")
+    assert {(r.id, r.name) for r in firms.watch_hits(texts, "id", "text", terms).collect()} == {(1, f"n{k}") for k in range(1, 131)}

@@ -44,3 +44,13 @@ def test_projection_and_fan_out(spark):
     pts = spark.createDataFrame([("1", 5.0, 5.0), ("2", 5.0, 5.0), ("3", 5.0, 5.0)], "crd string, x double, y double")
     out = {r.crd: (r.x, r.y) for r in geo.fan_out(pts).collect()}
     assert out["1"] == (5.0, 5.0) and len(set(out.values())) == 3
+
+
+def test_adviser_file_with_lines_before_the_header(spark, tmp_path):
+    rows = "\n".join(f'{100 + i},"Firm {i}, LLC",Firm {i},Boston,MA' for i in range(5))
+    head = "Organization CRD#,Legal Name,Primary Business Name,Main Office City,Main Office State"
+    for k, before in enumerate(("", "\n", "Report of advisers\n", "\nas of,today\n\n", "a,b,c,d,e\n")):
+        path = tmp_path / f"ia{k}.csv"
+        path.write_text(before + head + "\n" + rows + "\n")
+        got = advisers.read_adviser_file(spark, str(path), "2026-09-01")
+        assert sorted(r.crd for r in got.collect()) == [str(100 + i) for i in range(5)]
