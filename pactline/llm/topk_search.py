@@ -4,7 +4,8 @@ Vectors are cut into bands by descending length, bands into blocks of bounded si
 of the data gathers the weight of all vectors in the first coordinates. A query first meets the longest band, which gives it
 a lower bound for its k-th score. It then visits only bands whose longest vector can still reach that bound (Cauchy-Schwarz).
 Inside a block, candidates come by descending length; sums over the first rotated coordinates plus the product of the residual
-lengths bound each score, and only candidates whose bound reaches the k-th score get the exact integer product.
+lengths bound each score, and only candidates whose bound reaches the k-th score get the exact integer product; a tile in
+which many stay open gets the integer products of all its candidates at once.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor do rows without an id; rows of
 one id count as one vector (the smallest); shorter vectors are filled up with zeros; equal scores go to the smaller id; fewer
@@ -79,28 +80,33 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.nd
     qr, xr = q @ axes, x @ axes
     q_rest, x_rest = np.linalg.norm(qr[:, h:], axis=1), np.linalg.norm(xr[:, h:], axis=1)
     q_len, x_len = np.linalg.norm(qr, axis=1), np.linalg.norm(xr, axis=1)
+    exact_floats = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * q.shape[1] < _BIG
     best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
     bound = least.astype(float)
     for lo in range(0, len(x), TILE):
         hi = min(len(x), lo + TILE)
-        # rounding of the rotated sums stays far below this share of the lengths
-        slack = 1e-9 * q_len[:, None] * x_len[None, lo:hi] + 1e-6
         live = np.flatnonzero(q_len * x_len[lo] * (1 + 1e-9) + 1e-6 >= bound)  # the tile's longest vector comes first
         if not len(live):
             break
-        upper = qr[live, :h] @ xr[lo:hi, :h].T + q_rest[live, None] * x_rest[None, lo:hi] + slack[live]
-        a, b = np.nonzero((upper >= bound[live, None]) & (q_ids[live, None] != ids[None, lo:hi]))
-        if not len(a):
-            continue
-        rows, cols = live[a], b + lo
-        score = _exact(q[rows], x[cols])
-        for r in np.unique(rows):
-            m = rows == r
-            s, i = np.concatenate((best[r][0], score[m])), np.concatenate((best[r][1], ids[cols[m]]))
-            top = np.lexsort((i, -s.astype(float), -s))[:k] if np.abs(s).max() < _BIG else np.array(sorted(range(len(s)), key=lambda j: (-int(s[j]), int(i[j])))[:k])
-            best[r] = (s[top], i[top])
-            if len(top) == k:
-                bound[r] = max(bound[r], float(s[top[-1]]))
+        # rounding of the rotated sums stays far below this share of the lengths
+        upper = qr[live, :h] @ xr[lo:hi, :h].T + q_rest[live, None] * x_rest[None, lo:hi] + (1e-9 * q_len[live, None] * x_len[None, lo:hi] + 1e-6)
+        open_ = upper >= bound[live, None]
+        if exact_floats and open_.mean() > 0.02:
+            # so many candidates are open that one product over the tile costs less than gathering them
+            score_ = q[live] @ x[lo:hi].T
+            a, b = np.nonzero(open_ & (score_ >= bound[live, None]) & (q_ids[live, None] != ids[None, lo:hi]))
+            score = score_[a, b].astype(np.int64)
+        else:
+            a, b = np.nonzero(open_ & (q_ids[live, None] != ids[None, lo:hi]))
+            score = _exact(q[live[a]], x[b + lo])
+        cuts = np.searchsorted(a, np.arange(len(live) + 1))
+        for row in np.unique(a):
+            r, m = live[row], slice(cuts[row], cuts[row + 1])
+            s, i = np.concatenate((best[r][0], score[m])), np.concatenate((best[r][1], ids[b[m] + lo]))
+            top = np.lexsort((i, -s)) if s.min() > -2 ** 63 else np.array(sorted(range(len(s)), key=lambda j: (-int(s[j]), int(i[j]))))
+            best[r] = (s[top[:k]], i[top[:k]])
+            if len(top) >= k:
+                bound[r] = max(bound[r], np.nextafter(float(best[r][0][-1]), -np.inf) if not exact_floats else float(best[r][0][-1]))
     return [(int(q_ids[r]), int(i), int(s)) for r, (ss, ii) in enumerate(best) for s, i in zip(ss, ii, strict=True) if s >= least[r]]
 
 
@@ -157,6 +163,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     found = written(best(visit(layout[:1], queries.withColumn("least", none))), "longest")
     if len(layout) == 1:
         return found
-    least = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
+    # as a double, lowered a little where doubles no longer hold every whole number
+    low = F.col("score").cast("double") - F.when(F.abs(F.col("score").cast("double")) > _BIG, F.abs(F.col("score").cast("double")) * 1e-15).otherwise(0.0)
+    least = found.where(F.col("rank") == k).select("query_id", low.alias("least"))
     asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", none))
     return best(visit(layout[1:], asked).union(found.select("query_id", "vec_id", "score")))
