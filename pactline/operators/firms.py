@@ -9,11 +9,14 @@ from ..functions.hof import let, one_of, positions
 from ..functions.money import FIGURE
 from ..rules import (ACRONYMS_NOT_FIRMS, EXTRA_WORDS, GENERIC_WORDS, GIVEN_NAMES, PLACE_NAMES, STOP_PHRASES,
                      SUBJECT_DOMINANCE, SUBJECT_VERBS, SURNAMES)
+from ..functions.phrases import one_phrase
 from ..session import small_side
+from .wealth import LEAD_WORDS
 
 # fixed values: legal forms at the end of a name; punctuation no name spans; short names kept in capitals
-LEGAL_TAIL = (r"(?i)(?:[\s,]+(?:llc|l\.l\.c\.?|inc\.?|incorporated|corp\.?|corporation|co\.?|company|ltd\.?|limited|"
-              r"l\.?p\.?|llp|l\.l\.p\.?|pllc|p\.c\.|pc|na|n\.a\.|plc))+\.?\s*$")
+# fixed values: legal forms, with and without dots
+LEGAL_FORMS = """llc, l.l.c, inc, incorporated, corp, corporation, co, company, ltd, limited, lp, l.p, llp, l.l.p, pllc, p.c, pc, na, n.a, plc"""
+LEGAL_TAIL = rf"(?i)(?:[\s,]+{one_phrase(LEGAL_FORMS)}\.?)+\s*$"
 BOUNDARY = r"[:;,!?|\"“”‘()\[\]—–]|\s-\s"
 SENTENCE_END = r"(?<=[\p{L}\p{N}_]{3})\.(?=\s|$)"
 KEPT_CAPITALS = ("LPL", "RBC", "UBS", "BNY", "EP", "SEIA", "EQT")
@@ -266,9 +269,7 @@ selling hiring growing building tips lessons ways outlook q1 q2 q3 q4
 _ABBREVIATIONS = ("inc", "corp", "ltd", "llc", "co", "jr", "sr", "bros")
 _CHUNK = r"[,;:()\[\]|!?\"“”]|\s[-–—]\s|—|–"
 _CAPITAL = r"^(?:[A-Z][\p{L}\p{N}_.&'’-]*|[A-Z0-9]{2,}[\p{L}\p{N}_&-]*)$"
-_SPAN_LEAD = (r"(?i)^(?:(?:exclusive|breaking|report|rias?|pe|wirehouse|breakaway|hybrid|independent|serial|giant|firm|boutique|"
-              r"consolidator|aggregator|custodian|broker-dealer|bd|insurer|former|ex|new|the|a|an|[\w-]+-backed|"
-              r"[\w-]+-based)\s+)+")
+_SPAN_LEAD = rf"(?i)^(?:(?:{one_phrase(LEAD_WORDS)}|[\w-]+-backed|[\w-]+-based)\s+)+"
 
 
 def firm_spans(text: Column) -> Column:
