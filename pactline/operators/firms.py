@@ -181,23 +181,17 @@ def _camel(w: Column) -> Column:
 def dictionary_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """Token n-grams equal to an alias, with the context the guards need.
 
-    Only positions whose first token starts some alias are expanded, and only to the lengths that alias heads have.
+    Only tokens that start some alias are expanded, and only to the lengths that aliases of this first token have.
     """
-    aliases = aliases.persist()  # read three times below, and the dimension is far smaller than the text
-    longest = aliases.agg(F.max("n")).first()[0] or 1
     heads = aliases.groupBy(F.substring_index("alias", " ", 1).alias("head")).agg(F.collect_set("n").alias("lengths"))
     toks = texts.select(key, spoken(F.col(text)).alias("o"))
-    windows = toks.select(key, F.explode(F.transform(positions(F.col("o")), lambda i: F.struct(
-        i.alias("start"), F.get("o", i - 1).alias("before"),
-        F.slice("o", i + 1, F.lit(longest + 1)).alias("win")))).alias("w")).select(
-        key, "w.start", F.when(F.col("w.start") > 0, F.col("w.before")).alias("before"), "w.win",
-        _norm(F.get("w.win", F.lit(0))).alias("head"))
-    starts = windows.where(F.col("head") != BAR).join(small_side(heads), "head")
-    grams = starts.select(key, "start", "before", "win", F.explode("lengths").alias("n")).where(
-        F.col("n") <= F.size("win")).select(
-        key, "start", "n", "before", F.slice("win", F.lit(1), F.col("n")).alias("span"),
-        F.get("win", F.col("n")).alias("after"),
-        F.array_join(F.transform(F.slice("win", F.lit(1), F.col("n")), _norm), " ").alias("alias"))
+    words = toks.select(key, "o", F.posexplode("o").alias("start", "w")).where(F.col("w") != BAR).withColumn("head", _norm(F.col("w")))
+    starts = words.join(small_side(heads), "head").select(key, "o", "start", F.explode("lengths").alias("n"))
+    end = F.col("start") + F.col("n")
+    grams = starts.where(end <= F.size("o")).select(
+        key, "start", "n", F.when(F.col("start") > 0, F.get("o", F.col("start") - 1)).alias("before"),
+        F.slice("o", F.col("start") + 1, F.col("n")).alias("span"), F.get("o", end).alias("after"),
+        F.array_join(F.transform(F.slice("o", F.col("start") + 1, F.col("n")), _norm), " ").alias("alias"))
     return grams.join(small_side(aliases.drop("n")), "alias")
 
 

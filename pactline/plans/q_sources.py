@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import dates, urls
 from ..operators import deals as dl
 from ..operators import feed, firms, geo, industry, quality, rollups
-from ..rules import alias_table, industry_rule_table, stop_table
+from ..rules import industry_rule_table
 from ..sources import advisers as adv_src
 from ..sources import feeds, sinks
 from . import frames, shared
 from .frames import table
 from .oracle import _ZIP, NOW_TS, START, day, q, ts
+from ..session import small_side
 from .registry import big, job
 from .registry import ts as sts
 
@@ -123,9 +124,8 @@ def _(spark, sf):
 @job("src_rules", q("it", "SELECT industry, 'x'||count(*) AS items FROM it GROUP BY 1"))
 def _(spark, sf):
     rules = industry_rule_table(spark)
-    stop_table(spark), alias_table(spark, [("Acme", "Acme Capital LLC")])
     n = industry.counts(shared.items(spark, sf))
-    return n.join(F.broadcast(rules), "industry").select("industry", F.concat(F.lit("x"), F.col("n").cast("string")).alias("items"))
+    return n.join(small_side(rules), "industry").select("industry", F.concat(F.lit("x"), F.col("n").cast("string")).alias("items"))
 
 
 @job("sink_public_docs", q("cl", "SELECT CAST(cluster_id AS VARCHAR) AS key, '{\"cluster_id\":'||cluster_id||',\"headline\":\"'||headline||'\"}' AS doc FROM cl"))

@@ -11,6 +11,7 @@ from ..sources import advisers as adv_src
 from . import frames, shared
 from .frames import table
 from .oracle import day, q, ts
+from ..session import small_side
 from .registry import job, joined
 from .registry import ts as sts
 
@@ -217,7 +218,7 @@ def _(spark, sf):
 @job("tag_primary", q("it", "SELECT id, CASE WHEN source='outlet_3' AND industry NOT LIKE 'Wealth%' THEN 'Energy & Utilities' ELSE industry END AS category FROM it"))
 def _(spark, sf):
     hints = frames.source_config(spark, sf).select(F.col("name").alias("source"), F.col("industry").alias("hint"))
-    i = frames.articles(spark, sf).where("kind < 6").join(F.broadcast(hints), "source", "left")
+    i = frames.articles(spark, sf).where("kind < 6").join(small_side(hints), "source", "left")
     return industry.tag(i, hint="hint").select("id", "category")
 
 
@@ -290,10 +291,62 @@ def _keyed(spark, sf):
     return shared.items(spark, sf).join(stories.title_firms(shared.links(spark, sf)), "id", "left")
 
 
-@job("sim_pair_score")
+# Two headlines per order: the second holds the first's five made-up words and up to two more, so its edit distances are
+# differences in length; every eleventh shares one word only. Times differ by whole days, and every thirteenth pair has one source.
+def _extended(spark, sf):
+    k = F.col("o_orderkey")
+    word = lambda i: F.translate(F.substring(F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(i)))), 1, 6), "0123456789abcdef", "bcdfghjklmnpqrtv")
+    own = F.array(*[word(i) for i in range(5)])
+    longer = F.when(k % 11 == 0, F.array(word(0), *[word(i) for i in range(5, 9)])).when(k % 3 == 0, F.concat(own, F.array(word(5)))).otherwise(
+        F.concat(own, F.array(word(5), word(6))))
+    o = table(spark, sf, "orders").select(k.alias("k"), F.to_timestamp("o_orderdate").alias("at"), own.alias("own"), longer.alias("longer"))
+    side = lambda i, title, at, source: o.select(
+        (F.col("k") * 2 + i).alias("id"), F.lit(source).alias("source") if isinstance(source, str) else source.alias("source"), at.alias("published_at"),
+        F.array_join(title, " ").alias("title"), F.array().cast("array<string>").alias("firms"))
+    later = F.col("at") + F.make_dt_interval((F.col("k") % 5).cast("int"))
+    return side(0, "own", F.col("at"), "a").union(side(1, "longer", later, F.when(F.col("k") % 13 == 0, "a").otherwise("b")))
+
+
+_LINKED = "o_orderkey%5<=3 AND o_orderkey%11<>0"
+
+
+@job("sim_pair_score", "WITH p AS (SELECT o_orderkey AS k, 34 AS la, 34+7*CASE WHEN o_orderkey%3=0 THEN 1 ELSE 2 END AS lb FROM orders WHERE o_orderkey%11<>0) "
+     "SELECT k*2 AS a, k*2+1 AS b, round(least(100, 60+40*(1-(lb-la)/(la+lb))+8), 6) AS score FROM p")
 def _(spark, sf):
-    p = similarity.scored(similarity.candidate_pairs(similarity.signatures(_keyed(spark, sf))), similarity.THRESHOLD)
-    return p.groupBy((F.floor(F.col("score") / 10) * 10).alias("score_band")).agg(F.count(F.lit(1)).alias("pairs"))
+    # one time for both headlines of a pair, so that every pair is a candidate
+    items = _extended(spark, sf).withColumn("published_at", F.lit("2026-09-20").cast("timestamp"))
+    s = similarity.signatures(items)
+    ids = s.groupBy("sig").agg(F.min("id").alias("id"))
+    p = similarity.scored(similarity.candidate_pairs(s)).select("sig_a", "sig_b", "score")
+    p = p.join(ids.select(F.col("sig").alias("sig_a"), F.col("id").alias("x")), "sig_a").join(ids.select(F.col("sig").alias("sig_b"), F.col("id").alias("y")), "sig_b")
+    return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("score", 6).alias("score"))
+
+
+@job("join_fuzzy_window_self", f"SELECT o_orderkey*2 AS src, o_orderkey*2+1 AS dst FROM orders WHERE {_LINKED} AND o_orderkey%13<>0")
+def _(spark, sf):
+    e = similarity.story_edges(_extended(spark, sf))
+    return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+# Deals of eight orders share a target, of sixteen an acquirer; some name no target or no acquirer.
+def _same_deal(spark, sf):
+    k = F.col("o_orderkey")
+    brand = lambda c: F.initcap(F.translate(F.substring(F.md5(c.cast("string")), 1, 10), "0123456789abcdef", "bcdfghjklmnpqrtv"))
+    target = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(brand(F.floor(k / 8)), F.lit(" Holdings")))
+    acquirer = F.when(k % 5 == 0, F.lit("")).otherwise(brand(F.floor(k / 16) + 1000000))
+    return table(spark, sf, "orders").select(
+        k.alias("id"), k.alias("component"), (F.to_timestamp(F.lit("2026-09-01")) + F.make_dt_interval((k % 13).cast("int"))).alias("published_at"),
+        F.concat(F.lit("Deal for $"), ((k % 3 + 1) * 10).cast("string"), F.lit("M")).alias("title"), F.struct(acquirer.alias("acquirer"), target.alias("target")).alias("deal"))
+
+
+_THETA = ("d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey%6<>0 THEN o_orderkey//8 END AS t, CASE WHEN o_orderkey%5<>0 THEN o_orderkey//16 END AS q, o_orderkey%3 AS f, o_orderkey%13 AS at FROM orders), "
+          "e AS (SELECT x.k AS src, y.k AS dst FROM d x JOIN d y ON x.t=y.t AND x.k<y.k AND abs(x.at-y.at)<=7 AND (x.q=y.q OR x.q IS NULL OR y.q IS NULL) "
+          "UNION SELECT x.k, y.k FROM d x JOIN d y ON x.q=y.q AND x.f=y.f AND x.k<y.k AND abs(x.at-y.at)<=7 AND (x.t IS NULL OR y.t IS NULL))")
+
+
+@job("join_same_deal_theta", f"WITH {_THETA} SELECT src, dst FROM e")
+def _(spark, sf):
+    return similarity.same_deal_edges(_same_deal(spark, sf))
 
 
 @job("sim_block_pairs", "WITH b AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS t FROM lineitem GROUP BY 1) "
@@ -327,16 +380,23 @@ def _(spark, sf):
     return graph.components(e)
 
 
-@job("cc_same_deal")
+@job("cc_same_deal", f"WITH RECURSIVE {_THETA}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT k AS id, k AS label FROM d UNION SELECT u.b, r.label FROM r JOIN u ON u.a=r.id) "
+     "SELECT id, min(label) AS component FROM r GROUP BY 1")
+def _(spark, sf):
+    it = _same_deal(spark, sf)
+    return graph.merge_components(it, similarity.same_deal_edges(it)).select("id", "component")
+
+
+@job("cluster_stories", f"SELECT o_orderkey*2 AS id, o_orderkey*2 AS cluster_id FROM orders UNION ALL SELECT o_orderkey*2+1, CASE WHEN {_LINKED} AND o_orderkey%13<>0 THEN o_orderkey*2 ELSE o_orderkey*2+1 END FROM orders")
 def _(spark, sf):
-    it = shared.items(spark, sf).select("id", "title", "published_at", "deal", F.col("id").alias("component"))
-    e = similarity.same_deal_edges(it)
-    m = graph.merge_components(it, e)
-    return m.groupBy("component").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("stories"))
+    items = _extended(spark, sf).drop("firms").withColumn("deal", F.struct(F.lit("").alias("acquirer"), F.lit("").alias("target")))
+    links = items.limit(0).select("id", F.lit(True).alias("in_title"), F.lit("").alias("crd"), F.lit("").alias("name"))
+    return stories.cluster_stories(items, links).select("id", "cluster_id")
 
 
-@job("cluster_stories")
+@job("cluster_stories_flow")
 def _(spark, sf):
+    """The whole flow on headlines of deals, with linked firms and same-deal merging."""
     s = stories.cluster_stories(shared.items(spark, sf).drop("component"), shared.links(spark, sf))
     return s.select("id", "cluster_id")
 

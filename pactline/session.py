@@ -38,10 +38,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may do without one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster (set here only when unset)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..session import shared_folder
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder (a temporary one only when none is configured)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/pactline-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/pactline-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
