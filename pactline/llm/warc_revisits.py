@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, slices
 
 MIN_BYTES = 1000
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_RECORDS = 100_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -69,19 +69,17 @@ def record_text() -> Column:
     return F.concat(F.concat_ws(line, *head), F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write one record per page below `path`; files hold about `archive_bytes` of payload."""
-    headers = payload_headers(pages)
-    plan = plan_records(headers, min_bytes)
-    total = headers.agg(F.sum(F.col("n") + 600)).first()[0] or 0
-    files = max(1, -(-int(total) // archive_bytes))
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
+    """Write one record per page below `path`. Payloads are shuffled once, to meet their plan; a file holds a partition of
+    that join (its size is the session's advisory partition size) and at most `archive_records` records."""
+    plan = plan_records(payload_headers(pages), min_bytes)
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("u"), "html",
                         F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     url = F.regexp_replace(F.regexp_replace("u", "\r", "%0D"), "\n", "%0A").alias("url")
     same = (body["page_id"].eqNullSafe(plan["page_id"])) & (body["digest"] == plan["digest"])
     rows = body.join(plan, same).select(body["page_id"], url, body["digest"], "n", "original", "original_url", "html")
-    (rows.select(F.xxhash64("page_id", "digest").alias("k"), record_text().alias("value")).repartition(files, "k").select("value")
-     .write.option("lineSep", END).option("compression", "gzip").text(path))
+    (rows.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip")
+     .option("maxRecordsPerFile", archive_records).text(path))
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
