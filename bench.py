@@ -14,7 +14,7 @@ from pactline.session import build_session  # noqa: E402
 
 HEADLINE = ["flagship", "filter_deal_headlines", "deal_classify", "agg_cluster_rollup", "agg_best_deal", "tag_industries", "firm_match",
             "dedupe_canonical_url", "norm_urls", "dq_copied_runs", "dq_private_overlap", "geo_place_advisers",
-            "cc_story", "stream_daily_counts"]
+            "cc_story", "stream_daily_counts", "cc_same_deal"]
 
 
 def main() -> None:
