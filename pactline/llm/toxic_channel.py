@@ -1,9 +1,10 @@
 """Toxicity of deobfuscated text.
 
 Noisy channel. A character model (4-grams over letters, digits and breaks) is counted over the whole corpus. A token that
-mixes letters with look-alike digits or signs, repeats a letter three times or more, or spells a word letter by letter becomes
-a lattice: each look-alike may stand for itself or its letters, a run of one letter for one, two or all of its letters, a
-separator between single letters for a break or nothing. Viterbi decoding under the character model picks the restored form.
+mixes letters with look-alike digits or signs, repeats a letter three times or more, or holds separators between letters becomes
+a lattice, and so does a row of three or more single letters, digits or look-alike signs parted by separators or white space:
+each look-alike may stand for itself or its letters, a run of one letter for one, two or all of its letters, a run of separators
+or white space for a break or nothing. Viterbi decoding under the character model picks the restored form.
 
 Scoring. Words of the restored text and their prefixes carry log-odds of toxic documents, lowered by their standard error, so
 rare features count little. The strongest feature of each distinct word is its evidence; a logistic model on the summary of a
@@ -17,6 +18,7 @@ id and the text are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -88,14 +90,15 @@ class Restorer:
     """Viterbi decoding of suspicious tokens; results are kept by token in a bounded memory."""
 
     LIMIT = 300_000
-    SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\S)")
+    _SIGNS, _PARTS = (re.escape("".join(x)) for x in ([c for c in LOOKALIKES if not c.isalnum()], SEPARATORS))
+    SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[\s{_PARTS}]+(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])")
     PLAIN = re.compile(r"[^\W\d_]+")
     TRIPLE = re.compile(r"([^\W\d_])\1\1")
-    SPELLED = re.compile(rf"[^\W_](?:[{re.escape(SEPARATORS)}][^\W_]){{3,}}")
+    PARTED = re.compile(rf"[^\W_][{_PARTS}]+[^\W_]")
     EDGE = re.compile(r"^([^\w@$!|+]*)(.*?)([^\w@$]*|[$@!|+]{2,}[^\w]*)$", re.S)
 
     def __init__(self, model: np.ndarray):
-        self.cost = model
+        self.cost = array("f", np.ascontiguousarray(model, np.float32).tobytes())
         self.seen: dict[str, str] = {}
 
     def token(self, t: str) -> str:
@@ -110,42 +113,51 @@ class Restorer:
         before, core, after = self.EDGE.match(t).groups()
         if not any(map(str.isalpha, core)) or core.isalpha() and not self.TRIPLE.search(core):
             return t
-        spelled = self.SPELLED.fullmatch(core)
-        if not spelled and not self.TRIPLE.search(core) and not any(c in LOOKALIKES for c in core):
+        if not self.TRIPLE.search(core) and not self.PARTED.search(core) and not any(c in LOOKALIKES for c in core):
             return t
-        return before + self.decode(core, SEPARATORS if spelled else "") + after
+        return before + self.decode(core, SEPARATORS) + after
+
+    def spaced(self, x: str) -> str:
+        """`x` with its rows of single characters restored."""
+        return self.SPACED.sub(lambda m: self.decode(m[0], SEPARATORS) if any(map(str.isalpha, m[0])) else m[0], x)
 
     def text(self, x: str) -> str:
-        x = self.SPACED.sub(lambda m: self.decode(m.group(0), " "), x)
-        return re.sub(r"\S+", lambda m: self.token(m.group(0)), x)
+        return re.sub(r"\S+", lambda m: self.token(m.group(0)), self.spaced(x))
 
     def tokens(self, x: str) -> list[str]:
         """The restored text's tokens, without keeping white space."""
-        return list(map(self.token, self.SPACED.sub(lambda m: self.decode(m.group(0), " "), x).split()))
+        return list(map(self.token, self.spaced(x).split()))
 
     def decode(self, span: str, separators: str) -> str:
-        """The cheapest path through the lattice of `span`: channel costs plus the model's."""
-        paths = {(0, 0, 0): (0.0, "")}
-        for c, run in groupby(span):
-            n = len(list(run))
-            options = [(c * n, 0.0)]
-            if c in separators:
-                options.append(("", DROP))
+        """The cheapest path through the lattice of `span`: channel costs plus the model's; a run of separators counts as one break."""
+        cost, wrap = self.cost, SIZE ** 3
+        paths: dict[int, tuple] = {0: (0.0, None)}  # by the last three codes: cost and (path before, last piece)
+        for c, run in groupby(span, lambda c: " " if c in separators or c.isspace() else c):
+            piece = "".join(run)
+            n = len(piece)
+            options = [(piece, 0.0, _codes(c if c == " " else piece).tolist())]
+            if c == " ":
+                options.append(("", DROP, []))
             elif c in LOOKALIKES:
-                options += [(x * m, SUBSTITUTE) for x in LOOKALIKES[c] for m in {1, min(n, 2)}]
+                options += [(x * m, SUBSTITUTE, _codes(x * m).tolist()) for x in LOOKALIKES[c] for m in {1, min(n, 2)}]
             elif n >= 3:
-                options += [(c, COLLAPSE), (c * 2, COLLAPSE)]
+                options += [(c * m, COLLAPSE, _codes(c * m).tolist()) for m in (1, 2)]
             nxt: dict = {}
-            for state, (cost, out) in paths.items():
-                for o, price in options:
-                    s, total = state, cost + price
-                    for k in _codes(o) if o else ():
-                        total += float(self.cost[s[0], s[1], s[2], k])
-                        s = (s[1], s[2], int(k))
+            for state, (before, path) in paths.items():
+                for o, price, codes in options:
+                    s, total = state, before + price
+                    for k in codes:
+                        at = s * SIZE + k
+                        total += cost[at]
+                        s = at % wrap
                     if s not in nxt or total < nxt[s][0]:
-                        nxt[s] = (total, out + o)
+                        nxt[s] = (total, (path, o))
             paths = nxt
-        return min((cost + float(self.cost[s[0], s[1], s[2], 0]), out) for s, (cost, out) in paths.items())[1]
+        path, out = min(((t + cost[s * SIZE], p) for s, (t, p) in paths.items()), key=lambda x: x[0])[1], []
+        while path:
+            path, o = path
+            out.append(o)
+        return "".join(reversed(out))
 
 
 def features(word: str) -> list[str]:
@@ -188,7 +200,7 @@ class Scorer:
 
     def summary(self, text: str) -> list[float]:
         n, best = 0, {}
-        for t in self.restorer.SPACED.sub(lambda m: self.restorer.decode(m.group(0), " "), text).split():
+        for t in self.restorer.spaced(text).split():
             got = self.seen.get(t)
             if got is None:
                 if len(self.seen) >= self.LIMIT:
