@@ -8,11 +8,12 @@ or white space for a break or nothing. Viterbi decoding under the character mode
 
 Scoring. Words of the restored text and their prefixes carry log-odds of toxic documents, lowered by their standard error, so
 rare features count little. The strongest feature of each distinct word is its evidence; a logistic model on the summary of a
-document's evidence gives the score, shifted so that the best cut on the training rows lands on 0.7.
+document's evidence gives the score, shifted so that the best cut on the training rows lands on 0.7. No feature is
+left out for being rare.
 
 Defined cases: null and empty texts are scored as texts without words; without labels of both classes every document gets the
-share of label 1 (0.5 without labels); null labels are left out; repeated rows give repeated results; columns other than the
-id and the text are ignored.
+share of label 1 (0.5 without labels), and 0.7 times that share when no feature points to toxic texts; null labels are left out;
+repeated rows give repeated results; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ from pyspark.sql import functions as F
 from .common import fold, slices, written
 from .quality_ranking import quantile_cut
 
-# Bounds on the labelled rows and on the features that reach the driver.
+# Bound on the labelled rows; the features that reach the driver come from their texts alone.
 TRAIN_ROWS = 20_000
-MAX_FEATURES = 50_000
-LEAST_TOXIC = 5
 THRESHOLD = 0.7
 
 # What look-alike characters may stand for.
@@ -165,6 +164,11 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in (3, 4, 5) if len(word) > k)]
 
 
+def undominated(weights: dict[str, float]) -> dict[str, float]:
+    """`weights` without features that a shorter prefix, present wherever they are, outweighs: no evidence changes."""
+    return {f: w for f, w in weights.items() if all(weights.get(p, 0.0) < w for p in features(f.rstrip("*"))[1:])}
+
+
 @dataclass
 class ToxicModel:
     cost: np.ndarray
@@ -249,31 +253,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: tuple
     if len(sizes) < 2:
         return ToxicModel(cost, constant=float(next(iter(sizes))) if sizes else 0.5)
 
-    def counted(batches: Iterator[pa.RecordBatch], only: dict[str, int] | None) -> Counter:
+    def rows_of(total: Counter) -> pa.RecordBatch:
+        f, y = zip(*total, strict=True) if total else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(y, pa.int32()), pa.array(total.values(), pa.int64())], ["f", "y", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, total = Restorer(cost), Counter()
-        for b in slices(batches):
-            for x in b.column(0).to_pylist():
-                found = {f for w in set(Restorer.PLAIN.findall(" ".join(restorer.tokens(x)).lower())) for f in features(w)}
-                total.update(found if only is None else found & only.keys())
-        return total
-
-    def counts_of(only: dict[str, int] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = counted(batches, only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["f", "n"])
-        return run
-
-    toxic = (sample.where("y = 1").select("x").mapInArrow(counts_of(None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "f").limit(MAX_FEATURES).toPandas())
-    a = dict(zip(toxic["f"], toxic["n"].astype(int), strict=True))
-    clean = sample.where("y = 0").select("x").mapInArrow(counts_of(a), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    b = dict(zip(clean["f"], clean["n"].astype(int), strict=True))
-    weights = {}
-    for f, n in a.items():
-        m = b.get(f, 0)
-        w = np.log((n + 0.5) / (sizes[1] + 1)) - np.log((m + 0.5) / (sizes[0] + 1)) - 1.64 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if w > 1.0:
-            weights[f] = float(w)
+        for part in slices(batches):
+            for x, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = set(Restorer.PLAIN.findall(" ".join(restorer.tokens(x)).lower()))
+                total.update((f, y) for f in {f for w in words for f in features(w)})
+            if len(total) > 300_000:  # Spark adds the parts up
+                yield rows_of(total)
+                total.clear()
+        yield rows_of(total)
+
+    n, m = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) + 0.5 for y in (1, 0))
+    found = sample.select("x", "y").mapInArrow(counted, "f string, y int, n long").groupBy("f").agg(n.alias("n"), m.alias("m"))
+    w = F.log(F.col("n") / (sizes[1] + 1)) - F.log(F.col("m") / (sizes[0] + 1)) - 1.64 * F.sqrt(1 / F.col("n") + 1 / F.col("m"))
+    heavy = found.select("f", w.alias("w")).where("n > 0.5 and w > 1").toPandas()
+    weights = undominated(dict(zip(heavy["f"], heavy["w"].astype(float), strict=True)))
+    if not weights:
+        return ToxicModel(cost, constant=THRESHOLD * sizes[1] / (sizes[0] + sizes[1]))
     model = ToxicModel(cost, weights)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
