@@ -105,8 +105,9 @@ def cuts(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     down = Window.partitionBy("enc", "band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("enc", "band")
     bins = bins.withColumn("low", F.element_at(edge, F.col("bin") + 1)).withColumn("high", F.coalesce(F.try_element_at(edge, F.col("bin") + 2), F.lit(1.0)))
-    # keys spread evenly, so the upper half of the scale holds half of them
-    keys = 2 * F.sum(F.when(F.col("low") >= 0.5, F.col("n")).otherwise(0)).over(whole)
+    # keys spread evenly, so the upper half of the scale holds half of them; one more than seen there, as a few keys may all lie
+    # in the lower half: a token alone in its encoding and band is then judged by its own p and lost below 0.01 only
+    keys = 2 * (F.sum(F.when(F.col("low") >= 0.5, F.col("n")).otherwise(0)).over(whole) + 1)
     above, even, own = F.sum("n").over(down), keys * (1 - F.col("low")), keys * (F.col("high") - F.col("low"))
     # an excess counts when it is more than chance: two standard errors for the range above a cut, three for a single bin
     wide = ((above - even) / above > fdr) & (above - even > 2 * F.sqrt(even))
