@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, line_spread, near_dedup, phrase_index, quality_ranking, secret_scan, token_transducer, topk_search, toxic_channel, warc_revisits
+from . import (best_fit_packing, box_negatives, line_spread, near_dedup, phrase_index, quality_ranking, secret_scan, token_alignment, token_transducer, topk_search,
+               toxic_channel, url_trees, warc_revisits)
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,20 @@ def op10_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_box_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return box_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_trees.judge(pages, url_trees.fit(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 LINE_SQL = """
 WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
     unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -89,6 +104,17 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
+NEGATIVES_SQL = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT row_number() OVER (ORDER BY vec_id, label, q) AS n, * FROM r),
+s AS (SELECT a.n, a.vec_id AS anchor_id, b.n AS m, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.n <> b.n),
+p AS (SELECT n, anchor_id, m, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 5),
+g AS (SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.n, p.m ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score,
+  s.score AS negative_score FROM p JOIN s ON p.n = s.n AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT * FROM g WHERE rank <= 5
+"""
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 o AS (SELECT d, max(page_id) AS o FROM p WHERE n >= 1000 GROUP BY d)
@@ -123,5 +149,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_ranking": op8_quality_ranking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_transducer": op10_token_transducer,
+    "op11_box_negatives": op11_box_negatives,
+    "op12_url_trees": op12_url_trees,
+    "op13_token_alignment": op13_token_alignment,
 }
-SQL: dict[str, str] = {"op2_topk_search": TOPK_SQL, "op5_warc_revisits": WARC_SQL, "op6_phrase_index": PHRASE_SQL, "op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES)}
+SQL: dict[str, str] = {"op2_topk_search": TOPK_SQL, "op5_warc_revisits": WARC_SQL, "op6_phrase_index": PHRASE_SQL, "op7_line_spread": LINE_SQL.format(sites=line_spread.MIN_SITES),
+                      "op11_box_negatives": NEGATIVES_SQL}
