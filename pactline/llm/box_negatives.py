@@ -129,7 +129,8 @@ def intervals(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     """Least and highest inner product of each row of q with anything inside each box, widened by more than rounding can cost."""
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T) + 1e-6
-    return up @ lo.T + down @ hi.T - slack, up @ hi.T + down @ lo.T + slack
+    ends = up @ lo.T + down @ hi.T - slack, up @ hi.T + down @ lo.T + slack
+    return tuple(np.clip(e, -2.0 ** 63, 2.0 ** 63) for e in ends)  # as scores saturate
 
 
 def search_tile(q: np.ndarray, label: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, labels: np.ndarray,
@@ -188,10 +189,11 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
         sent = asked.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("deal", F.pmod(F.xxhash64("rid"), F.lit(4096)).cast("int"))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({"rid": [], "tile": [], "most": []}).astype({"rid": "object", "tile": "object", "most": "float64"})]
+            rid, tile, most_ = [], [], []
             if len(left) and len(right):
                 box = right["boxes"].iloc[0]
-                names = np.array([b["tile"] for b in box], object)
+                names = [b["tile"] for b in box]
+                asked_ = left["rid"].tolist()
                 lo, hi = _matrix([b["lo"] for b in box], d), _matrix([b["hi"] for b in box], d)
                 for s in range(0, len(left), per_page):
                     some = left.iloc[s:s + per_page]
@@ -205,8 +207,10 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
                         a, b = a[ok], b[ok]
                     else:
                         a, b = np.nonzero(fits)
-                    out.append(pd.DataFrame({"rid": some["rid"].to_numpy()[a], "tile": names[b], "most": reach[a, b]}))
-            return pd.concat(out[1:] or out)
+                    rid += [asked_[s + k] for k in a.tolist()]
+                    tile += [names[k] for k in b.tolist()]
+                    most_ += reach[a, b].tolist()
+            return pd.DataFrame({"rid": pd.Series(rid, dtype=object), "tile": pd.Series(tile, dtype=object), "most": np.array(most_, float)})
 
         # a directory meets the requests of one of its deals at a time; a deal is cut into blocks above
         deals = F.explode(F.sequence(F.lit(0), F.lit(4095)))
@@ -229,8 +233,8 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
                 x = np.frombuffer(row["x"], "<i8").reshape(-1, d).astype(float)
                 got = search_tile(_matrix(list(left["q"]), d), left["label"].to_numpy(), same, left["low"].to_numpy(), left["high"].to_numpy(), left["least"].to_numpy(),
                                   k, np.asarray(row["ids"]), np.asarray(row["labels"]), x, leaf)
-            rid = left["rid"].to_numpy()
-            return pd.DataFrame({"rid": [rid[g[0]] for g in got], "vec_id": np.array([g[1] for g in got], np.int64), "score": np.array([g[2] for g in got], np.int64),
+            rid = left["rid"].tolist()
+            return pd.DataFrame({"rid": pd.Series([rid[g[0]] for g in got], dtype=object), "vec_id": np.array([g[1] for g in got], np.int64), "score": np.array([g[2] for g in got], np.int64),
                                  "twin": np.array([g[3] for g in got], bool)})
 
         return sent.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInPandas(meet, "rid string, vec_id long, score long, twin boolean")
