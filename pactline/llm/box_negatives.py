@@ -24,7 +24,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .topk_search import _exact, _matrix
 
-TILE, LEAF, FAN = 4_096, 32, 8
+TILE, LEAF, FAN = 4_096, 32, 8  # rows of a tile and of a leaf, leaves of an inner node
 DIRECTORY = 8_192  # tile boxes in one directory
 PART = 512  # requests that meet a tile at once
 K = 5
@@ -135,41 +134,40 @@ def intervals(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 def search_tile(q: np.ndarray, label: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, labels: np.ndarray,
                 x: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> list[tuple[int, int, int, bool]]:
-    """(request, id, score, twin): each request's best k rows of one tile with scores inside [low, high] and not below `least`."""
-    leaf_lo, leaf_hi = _boxes(x, leaf)
-    node_lo, node_hi = np.minimum.reduceat(leaf_lo, np.arange(0, len(leaf_lo), fan)), np.maximum.reduceat(leaf_hi, np.arange(0, len(leaf_hi), fan))
-    leaf_least, leaf_most = intervals(q, leaf_lo, leaf_hi)
-    node_least, node_most = intervals(q, node_lo, node_hi)
+    """(request, id, score, twin): each request's best k rows of one tile with scores inside [low, high] and not below `least`.
+
+    Each request keeps a queue of inner nodes, the highest reachable score of their leaves first. The requests advance together,
+    so those that open a node at the same step share one product; a request leaves when the next node is strictly below its kth.
+    """
+    most_s, most_id = -2 ** 63, 2 ** 63 - 1
+    top = high.astype(float)[:, None]
+    leaf_least, leaf_most = intervals(q, *_boxes(x, leaf))
+    reach = np.where(leaf_least <= top, np.minimum(leaf_most, top), -np.inf)
+    reach = np.maximum.reduceat(reach, np.arange(0, reach.shape[1], fan), axis=1)
+    queue = np.argsort(-reach, axis=1, kind="stable")
     floats = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * q.shape[1] < _BIG
-    out = []
-    for r in range(len(q)):
-        bound, best = max(float(low[r]), float(least[r])), []
-        reach = lambda most, at: min(most[r, at], float(high[r]))
-        queue = [(-reach(node_most, m), 0, m) for m in range(len(node_lo)) if node_most[r, m] >= bound and node_least[r, m] <= high[r]]
-        heapq.heapify(queue)
-        while queue and -queue[0][0] >= bound:
-            _, is_leaf, m = heapq.heappop(queue)
-            if not is_leaf:
-                for c in range(m * fan, min((m + 1) * fan, len(leaf_lo))):
-                    if leaf_most[r, c] >= bound and leaf_least[r, c] <= high[r]:
-                        heapq.heappush(queue, (-reach(leaf_most, c), 1, c))
-                continue
-            rows = np.arange(m * leaf, min((m + 1) * leaf, len(x)))
-            rows = rows[(labels[rows] == label[r]) == same]
-            score = (x[rows] @ q[r]).astype(np.int64) if floats else _exact(np.repeat(q[r:r + 1], len(rows), 0), x[rows])
-            fits = (score >= low[r]) & (score <= high[r])
-            for i, s in zip(rows[fits].tolist(), score[fits].tolist(), strict=True):
-                # the heap's first entry is the worst kept: the lowest score, of these the largest id
-                entry = (s, -int(ids[i]), i)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            if len(best) == k:
-                kth = float(best[0][0])
-                bound = max(bound, kth if floats else kth - abs(kth) * 1e-15)
-        out += [(r, -e, s, bool((x[i] == q[r]).all())) for s, e, i in best]
-    return out
+    bound = np.maximum(low.astype(float), least)
+    score_, id_, at_ = np.full((len(q), k), most_s), np.full((len(q), k), most_id), np.full((len(q), k), -1)
+    live = np.arange(len(q))
+    for step in range(queue.shape[1]):
+        live = live[reach[live, queue[live, step]] >= bound[live]]
+        for m in np.unique(queue[live, step]):
+            r = live[queue[live, step] == m]
+            at = np.arange(m * leaf * fan, min((m + 1) * leaf * fan, len(x)))
+            score = (q[r] @ x[at].T).astype(np.int64) if floats else np.stack([_exact(np.repeat(q[i:i + 1], len(at), 0), x[at]) for i in r])
+            fits = ((labels[at] == label[r, None]) == same) & (score >= low[r, None]) & (score <= high[r, None]) & (score >= bound[r, None])
+            some = fits.any(1)
+            r, fits = r[some], fits[some]
+            s = np.hstack((score_[r], np.where(fits, score[some], most_s)))
+            i = np.hstack((id_[r], np.where(fits, ids[at], most_id)))
+            p = np.hstack((at_[r], np.where(fits, at, -1)))
+            best = np.lexsort((i, ~s), axis=-1)[:, :k]
+            score_[r], id_[r], at_[r] = (np.take_along_axis(v, best, 1) for v in (s, i, p))
+            kth = score_[r, k - 1].astype(float)
+            kth = kth if floats else kth - np.abs(kth) * 1e-15
+            bound[r] = np.where(at_[r, k - 1] >= 0, np.maximum(bound[r], kth), bound[r])
+    a, b = np.nonzero(at_ >= 0)
+    return [(int(r), int(id_[r, c]), int(score_[r, c]), bool((x[at_[r, c]] == q[r]).all())) for r, c in zip(a, b, strict=True)]
 
 
 def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, directory: int = DIRECTORY, part: int = PART, leaf: int = LEAF) -> DataFrame:
