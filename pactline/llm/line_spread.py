@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import free_name, slices, written
 
 MIN_SITES = 10
 LG_K = 10
@@ -59,10 +59,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     out = lines.join(found, ["h1", "h2"])
     if keep_first:
         out = out.where(~F.struct("doc_id", "pos", "t").eqNullSafe(F.col("first")))
-    drops = out.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    drop = free_name("_drop", own)
+    drops = out.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias(drop))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.xxhash64("text").alias("_h"))
-    tagged = keyed.join(drops, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left").select("row.*", "_drop")
+    tagged = keyed.join(drops, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left").select("row.*", drop)
     at = own.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ different texts of a bucket is skipped; 42 bands of 6 coordinates miss a pair at
 
 Defined cases: null or blank texts have an empty set, are linked with nothing and are their own component; fewer words than
 a shingle make one shingle of the whole sequence; repeated rows give repeated result rows; rows that share an id keep their
-own texts and share the smallest id as label; a null id sorts first. Columns other than the id and the text are ignored.
+own texts and share the smallest id as label. Rows without an id link like others and take the smallest id of their class; in
+a class without any id the component is null and one text is kept. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -101,6 +102,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("x"))
 
 
+def node_of(i: str = "i", t: str = "t") -> Column:
+    """A row's name: its id and text hash, ordered with null ids last, so that they never name a class that holds an id."""
+    return F.struct(F.col(i).isNull().alias("z"), F.col(i).alias("i"), F.col(t).alias("t"))
+
+
 def signatures(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """(i, t, n_shingles, set1, set2, bands) of every row; set1 and set2 digest the shingle set."""
 
@@ -123,14 +129,14 @@ def signatures(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, words) of the given nodes: the whole sorted shingle set."""
-    texts = _keyed(docs).join(nodes.select("node.i", "node.t"), ["i", "t"], "left_semi").dropDuplicates(["i", "t"])
+    texts = (_keyed(docs).withColumn("node", node_of()).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("i", "t", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = pa.array([shingles(x, size).view(np.int64) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], ["i", "t", "words"])
 
-    return texts.mapInArrow(run, "i long, t long, words array<long>").select(F.struct("i", "t").alias("node"), "words")
+    return texts.mapInArrow(run, "i long, t long, words array<long>").select(node_of().alias("node"), "words")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,12 +206,12 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pack(compare(group, held))
 
     got = dealt.mapInArrow(run, "i long, t long, j long, u long")
-    return got.select(F.struct("i", "t").alias("src"), F.struct(F.col("j").alias("i"), F.col("u").alias("t")).alias("dst")).distinct()
+    return got.select(node_of().alias("src"), node_of("j", "u").alias("dst")).distinct()
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
-    sigs = written(signatures(docs, size, bins, rows).withColumn("node", F.struct("i", "t")).drop("i", "t"), "signatures")
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of `docs`; with `text_hash` also t, a hash of the text."""
+    sigs = written(signatures(docs, size, bins, rows).withColumn("node", node_of()).drop("i", "t"), "signatures")
     nodes = written(sigs.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
@@ -220,8 +226,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, bins: int = BINS,
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     more = written(across(named.join(mixed, "key"), sets, percent), "more")
     final = components(edges.union(more))
-    known = nodes.join(final.select(F.col("id").alias("node"), F.col("component.i").alias("c")), "node", "left").select(
-        "set1", "set2", F.coalesce("c", F.col("node.i")).alias("c"))
+    known = nodes.join(final.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").select("set1", "set2", F.coalesce("c", "node").alias("c"))
     out = sigs.select("node", "n_shingles", "set1", "set2").join(known, ["set1", "set2"], "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("node.i"))
-    return out.select(F.col("node.i").alias("doc_id"), "n_shingles", cid.alias("component_id"), F.col("node.i").eqNullSafe(cid).alias("kept"))
+    out = out.withColumn("c", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("node")))
+    kept = F.when(F.col("node.z"), F.col("node") == F.col("c")).otherwise(F.col("node.i").eqNullSafe(F.col("c.i")))
+    return out.select(F.col("node.i").alias("doc_id"), "n_shingles", F.col("c.i").alias("component_id"), kept.alias("kept"), *([F.col("node.t").alias("t")] if text_hash else []))

@@ -10,7 +10,7 @@ rarest; what survives is compared word by word along the alignment, which also f
 
 Defined cases: null and wordless texts have no words, are never hit and never match; an item shorter than the width is one
 window; items or documents that share an id keep their own texts, an item id counts once; repeated rows give repeated
-results; an empty benchmark or corpus is no error; other columns are ignored.
+results; rows without an id are matched like any other; an empty benchmark or corpus is no error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,13 @@ class Block:
         return np.fromiter((get(x, none) for x in w), np.int32, len(w))
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name where a null id equals a null id; the right side's own copies of them are dropped."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    out = left.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on)), how)
+    return out if how == "left_semi" else out.drop(*(f"_right_{c}" for c in on))
+
+
 def _corpus(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("x"))
 
@@ -128,14 +137,14 @@ def alignments(index: DataFrame, block: Block, pairs: list[list[tuple[int, int]]
              .select("doc_id", "t", "item", (F.col("pos") - F.col("p")).alias("shift"), "p", "second", "q"))
     done = first.where("p = q").select("doc_id", "t", "item", "shift")  # windows of one word
     second = first.where("p <> q").select("doc_id", "t", "item", "shift", "second", (F.col("shift") + F.col("q")).alias("pos")).distinct()
-    both = second.join(hits.withColumnRenamed("term", "second"), ["doc_id", "t", "second", "pos"], "left_semi").select("doc_id", "t", "item", "shift")
+    both = joined(second, hits.withColumnRenamed("term", "second"), ["doc_id", "t", "second", "pos"], "left_semi").select("doc_id", "t", "item", "shift")
     return done.union(both).distinct()
 
 
 def exact_matches(docs: DataFrame, found: DataFrame, block: Block, width: int) -> DataFrame:
     """(doc_id, t, item_ids, hits): items with whole windows in the document and the document positions inside them."""
     per_doc = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("item", "shift")).alias("found"))
-    src = _corpus(docs).dropDuplicates(["doc_id", "t"]).join(per_doc, ["doc_id", "t"]).select("doc_id", "t", "x", "found.item", "found.shift")
+    src = joined(_corpus(docs).dropDuplicates(["doc_id", "t"]), per_doc, ["doc_id", "t"]).select("doc_id", "t", "x", "found.item", "found.shift")
     kinds = dict(src.dtypes)
 
     def match(n: np.ndarray, item: np.ndarray, shift: int, hit: np.ndarray) -> bool:
@@ -197,7 +206,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_w
         hits = hits.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
                                                F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     none = F.array().cast("array<string>")
-    return lengths.join(hits, ["doc_id", "t"], "left").select(
+    return joined(lengths, hits, ["doc_id", "t"], "left").select(
         "doc_id", "t", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
@@ -220,6 +229,9 @@ def proximity(spark: SparkSession, docs: DataFrame, queries: dict[str, list[str]
     asked = F.broadcast(spark.createDataFrame(rows, "query string, rarest int, term int, n int"))
     hits = index.where("term >= 0").select("doc_id", "t", "term", F.explode("positions").alias("pos")).join(asked, "term")
     anchors = hits.where("term = rarest").select("query", "doc_id", "t", F.col("pos").alias("at"), "n")
-    near = anchors.join(hits.select("query", "doc_id", "t", "term", "pos"), ["query", "doc_id", "t"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+    # positions meet in stretches of slop + 1 words: an anchor looks into its own stretch and both beside it
+    stretch = lambda c: F.floor(F.col(c) / (slop + 1))
+    beside = anchors.withColumn("s", F.explode(F.array(stretch("at") - 1, stretch("at"), stretch("at") + 1)))
+    near = joined(beside, hits.select("query", "doc_id", "t", "term", "pos", stretch("pos").alias("s")), ["query", "doc_id", "t", "s"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
     return (near.groupBy("query", "doc_id", "t", "at", "n").agg(F.countDistinct("term").alias("got")).where("got = n")
             .select("query", "doc_id", F.col("at").alias("pos")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, free_name, slices
 
 # Bound on the labelled documents whose features reach the driver, and on the preference pairs made of them.
 TRAIN_ROWS = 20_000
@@ -140,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", holdout: tup
     chosen = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != out))
               .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     # bounded by `rows`, so the broadcast has a fixed size
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = with_features(train, extra=["_y"]).select("features", "_y").toPandas()
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
+    # in the order of the ids, so that a task run again cannot change the model
+    got = with_features(train, extra=["_y"]).select("doc_id", "features", "_y").toPandas().sort_values("doc_id")
     if not len(got):
         return PairwiseModel(constant=0.5)
     return fit_pairs(np.array(got["features"].tolist(), float), got["_y"].to_numpy())
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", holdout: tup
 def score_documents(docs: DataFrame, model: PairwiseModel, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, score, predicted) per row, with the columns in `keep` carried along (clashing names are the caller's)."""
     keep = keep or []
-    src = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("_t"), *keep)
+    src = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias(free_name("_t", keep)), *keep)
     kinds = dict(src.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,7 +133,8 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     known = F.filter("all", lambda s: s["ord"] < 4)
     free = F.filter("all", lambda s: (s["ord"] < 4) | ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     found = per_doc.withColumn("base", known).withColumn("spans", free).drop("all")
-    out = rows.select("doc_id", "t").join(found, ["doc_id", "t"], "left")
+    found = found.withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    out = rows.select("doc_id", "t").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     count = lambda k: F.coalesce(F.size(F.filter("spans", lambda s: s["ord"] == k)), F.lit(0)).cast("long")
     sized = out.select("doc_id", "t", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"), count(4).alias("n_random"), "base", "spans")
     return sized.withColumns({c: F.when(F.col("spans").isNull(), F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("n_assign", "n_access", "n_hex", "n_random")})

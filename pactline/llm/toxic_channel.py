@@ -94,7 +94,7 @@ class Restorer:
     PLAIN = re.compile(r"[^\W\d_]+")
     TRIPLE = re.compile(r"([^\W\d_])\1\1")
     PARTED = re.compile(rf"[^\W_][{_PARTS}]+[^\W_]")
-    EDGE = re.compile(r"^([^\w@$!|+]*)(.*?)([^\w@$]*|[$@!|+]{2,}[^\w]*)$", re.S)
+    BEFORE = re.compile(r"[^\w@$!|+]*")
 
     def __init__(self, model: np.ndarray):
         self.cost = array("f", np.ascontiguousarray(model, np.float32).tobytes())
@@ -108,8 +108,23 @@ class Restorer:
             got = self.seen[t] = self._token(t)
         return got
 
+    @classmethod
+    def edges(cls, t: str) -> tuple[str, str, str]:
+        """Leading punctuation, core and trailing punctuation of a token; signs that may stand for letters stay in the core, but for two
+        or more after its last word character. Each part takes one scan."""
+        first = cls.BEFORE.match(t).end()
+        word = len(t)
+        while word > first and not (t[word - 1].isalnum() or t[word - 1] == "_"):
+            word -= 1
+        end = max(word, 1 + max(t.rfind("@", word), t.rfind("$", word)))
+        for k in range(word, min(end, len(t) - 1)):
+            if t[k] in "$@!|+" and t[k + 1] in "$@!|+":
+                end = k
+                break
+        return t[:first], t[first:end], t[end:]
+
     def _token(self, t: str) -> str:
-        before, core, after = self.EDGE.match(t).groups()
+        before, core, after = self.edges(t)
         if not any(map(str.isalpha, core)) or core.isalpha() and not self.TRIPLE.search(core):
             return t
         if not self.TRIPLE.search(core) and not self.PARTED.search(core) and not any(c in LOOKALIKES for c in core):
@@ -247,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: tuple
               .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     # bounded by `rows`, so the broadcast has a fixed size; copies of a text count once
     sample = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("x")).join(F.broadcast(chosen), "doc_id")
-              .dropDuplicates(["doc_id"]).groupBy(F.xxhash64("x").alias("k")).agg(F.first("x").alias("x"), F.max("y").alias("y")).drop("k"))
+              .groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).groupBy(F.xxhash64("x").alias("k")).agg(F.first("x").alias("x"), F.max("y").alias("y")).drop("k"))
     sample = written(sample, "sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:

@@ -3,7 +3,8 @@
 Only headers (page id, URL, payload digest, payload bytes) are shuffled by digest; the largest page id of equal payloads is
 the original, the others become revisit records that refer to it. Records with fresh headers are written as gzipped WARC/1.1
 files of bounded size by Spark's text writer, whose line separator is the end of a record. The reader streams the archives
-back, follows Content-Length (a payload may itself hold the separator) and resolves revisits by joining originals.
+back by Content-Length alone (a payload may hold the separator, or begin or end in CR and LF) and resolves revisits by joining
+originals. A file is one gzip stream, as Spark's writer makes it.
 
 Defined cases: a null payload is empty; payloads below `min_bytes` are always responses; rows of equal id and payload are all
 responses, or all revisits; a null id is never an original; line breaks in a URL are percent-encoded; an empty table writes
@@ -103,28 +104,36 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
         return (*row, body) if payload else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the reader hands out what stands between separators, in file order, and files end at a record's end
-        fields: dict[bytes, bytes] | None = None
-        need, held = 0, []
+        # pieces between separators, in file order, are the bytes of the files again once the separators are put back; lengths come
+        # from the headers alone, as a payload may hold a separator or end in part of one
+        held, fields, need = bytearray(), None, 0
         for b in slices(batches):
             out = []
             for v in b.column(0).to_pylist():
-                if fields is None:
-                    lines = v.split(b"\r\n")
-                    if not lines[0].startswith(b"WARC/"):
-                        raise ValueError("not a record header")
-                    fields = {k.lower(): x for k, _, x in (y.partition(b": ") for y in lines[1:])}
-                    need, held = int(fields[b"content-length"]), []
-                    continue
-                held.append(v)
-                size = sum(map(len, held)) + len(sep) * (len(held) - 1)
-                if size > need:
-                    raise ValueError("a block is longer than its header says")
-                if size == need:
-                    out.append(record(fields, sep.join(held)))
+                held += v
+                held += sep
+                while True:
+                    if fields is None:
+                        while held[:1] in (b"\r", b"\n"):  # what a file's last piece had too much
+                            del held[:1]
+                        at = held.find(sep)
+                        if at < 0:
+                            break
+                        lines = bytes(held[:at]).split(b"\r\n")
+                        if not lines[0].startswith(b"WARC/"):
+                            raise ValueError("not a record header")
+                        fields = {k.lower(): x for k, _, x in (y.partition(b": ") for y in lines[1:])}
+                        need = int(fields[b"content-length"])
+                        del held[:at + len(sep)]
+                    if len(held) < need + len(sep):
+                        break
+                    if held[need:need + len(sep)] != sep:
+                        raise ValueError("a block is longer than its header says")
+                    out.append(record(fields, bytes(held[:need])))
+                    del held[:need + len(sep)]
                     fields = None
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
-        if fields is not None:
+        if fields is not None or held.strip(b"\r\n"):
             raise ValueError("the archive ends inside a record")
 
     sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}

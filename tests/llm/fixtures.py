@@ -23,4 +23,4 @@ def frame(spark, rows, extra: bool = True):
     if not extra:
         return df
     # columns that clash with names the operators use inside
-    return df.withColumns({c: F.lit("clash") for c in ("t", "x", "score", "predicted", "node", "key", "n", "label", "features", "kind", "pos", "start", "n_words")})
+    return df.withColumns({c: F.lit("clash") for c in ("t", "x", "score", "predicted", "node", "key", "n", "label", "features", "kind", "pos", "start", "n_words", "_drop", "_t", "_d", "_h", "row", "node")})

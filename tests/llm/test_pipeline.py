@@ -59,4 +59,4 @@ def test_every_operator_is_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} and "pipeline" in names
