@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word shingles, similarity 0.8), the one with the smallest id."""
     own = docs.select(*COLUMNS)
-    kept = near_dedup.classes(own, size=5, percent=80).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    left = own.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    kept = near_dedup.classes(own, size=5, percent=80, text_hash=True).where("kept").select(F.col("doc_id").alias("_k"), F.col("t").alias("_t")).distinct()
+    left = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
     # rows that repeat one id and text are one document
     return left.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).select(*COLUMNS)
 
