@@ -10,6 +10,7 @@ from ..operators import feed, firms, geo, industry, quality, rollups
 from ..rules import industry_rule_table
 from ..sources import advisers as adv_src
 from ..sources import feeds, sinks
+from ..streaming import jobs, store
 from . import frames, shared
 from .frames import table
 from .oracle import _ZIP, NOW_TS, START, day, q, ts
@@ -130,29 +131,36 @@ def _(spark, sf):
 
 @job("sink_public_docs", q("cl", "SELECT CAST(cluster_id AS VARCHAR) AS key, '{\"cluster_id\":'||cluster_id||',\"headline\":\"'||headline||'\"}' AS doc FROM cl"))
 def _(spark, sf):
-    return sinks.public_docs(shared.stories(spark, sf), ["cluster_id", "headline"], "cluster_id").select(
-        F.col("key").cast("string").alias("key"), "doc")
+    path = f"{jobs.work_folder(spark)}/docs"
+    sinks.write_docs(shared.stories(spark, sf), ["cluster_id", "headline"], "cluster_id", path)
+    return spark.read.schema("key string, doc string").json(path)
 
 
-@job("sink_detail_shards", q("adv", "SELECT n%32 AS shard, count(*) AS n FROM adv GROUP BY 1"))
+@job("sink_detail_shards", q("adv", "SELECT n%32 AS shard, count(*) AS n, count(DISTINCT n) AS advisers FROM adv GROUP BY 1"))
 def _(spark, sf):
-    return sinks.with_shard(frames.advisers(spark, sf)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{jobs.work_folder(spark)}/shards"
+    sinks.write_shards(frames.advisers(spark, sf), path)
+    return spark.read.schema("crd string, shard int").json(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("crd").alias("advisers"))
 
 
 @job("sink_wire_stats", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY GROUP BY 1")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumnRenamed("ts", "run_at")
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    old, run = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    kept = sinks.append_stats(sinks.retained(old, now, 10), sinks.retained(run, now, 10), now)
-    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{jobs.work_folder(spark)}/stats"
+    half = e.where("day(run_at) <= 15 and event_id % 2 = 0")
+    sinks.write_stats(half, path)
+    sinks.write_stats(e, path)  # its dates replace those of the first run
+    return sinks.live_stats(spark, path, F.lit("2024-01-20").cast("date"), 10).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @job("sink_replace_dimension", q("adv", "SELECT count(*) AS n, count_if(n%2=0) AS even FROM adv"))
 def _(spark, sf):
-    new = frames.advisers(spark, sf)
-    kept = sinks.replaced(new.where("crd = '0'"), new, 100)
-    return kept.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("crd").cast("bigint") % 2 == 0).alias("even"))
+    new = frames.advisers(spark, sf).select("crd", "legal_name", "aum_usd")
+    path = f"{jobs.work_folder(spark)}/advisers"
+    sinks.replace_dimension(new.where("crd % 2 = 0"), path, 10)
+    sinks.replace_dimension(new, path, 10)
+    sinks.replace_dimension(new.where("crd = '0'"), path, 10)  # too small a load: the version before stays
+    return sinks.read_dimension(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("crd").cast("bigint") % 2 == 0).alias("even"))
 
 
 @job("sink_source_status",
@@ -366,8 +374,10 @@ def _(spark, sf):
 @job("anti_new_items", q("art", "SELECT id FROM art WHERE o<>3"))
 def _(spark, sf):
     a = frames.articles(spark, sf).withColumn("canonical_url", urls.canonical_url(F.col("url")))
-    twice = a.unionByName(a)
-    return feeds.new_only(twice, a.where("source = 'outlet_3'")).select("id")
+    items = store.ItemStore(spark, f"{jobs.work_folder(spark)}/items", "canonical_url")
+    items.insert(a.where("source = 'outlet_3'"), 0)
+    items.insert(a.unionByName(a), 1)
+    return items.items(batch=1).select("id")
 
 
 @job("semi_private_text", "SELECT doc_id, item_id FROM documents JOIN benchmark ON length(trim(benchmark.text))>=40 AND contains(documents.text, trim(benchmark.text))")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.geo import SHARDS
@@ -33,8 +35,15 @@ def retained(stats: DataFrame, now: Column, days: int = KEEP_DAYS, at: str = "ru
     return stats.where(F.col(at) >= now - F.make_dt_interval(F.lit(days)))
 
 
-def append_stats(stored: DataFrame, run: DataFrame, now: Column) -> DataFrame:
-    return retained(stored, now).unionByName(run)
+def write_stats(run: DataFrame, path: str, at: str = "run_at") -> None:
+    """Add the statistics of a run. A run date is a folder; writing a date again replaces that folder and no other."""
+    dated = run.withColumn("run_date", F.to_date(at))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+
+
+def live_stats(spark: SparkSession, path: str, now: Column, days: int = KEEP_DAYS) -> DataFrame:
+    """Statistics of the last `days` run dates before today's; folders of other dates are not read."""
+    return spark.read.parquet(path).where(F.col("run_date") >= F.date_sub(now, days))
 
 
 def replaced(new: DataFrame, old: DataFrame, min_rows: int) -> DataFrame:
@@ -43,9 +52,37 @@ def replaced(new: DataFrame, old: DataFrame, min_rows: int) -> DataFrame:
     return new if enough else old
 
 
-def replace_dimension(new: DataFrame, path: str, min_rows: int) -> bool:
-    """Overwrite a stored dimension unless the load is suspiciously small; tells whether it was written."""
+POINTER = "version long, folder string"
+
+
+def replace_dimension(new: DataFrame, path: str, min_rows: int, keep: int = 2) -> bool:
+    """Swap a stored dimension for a new load, unless that is suspiciously small; tells whether it did.
+
+    The load goes to a folder of its own, and a pointer row that names the folder is committed last. A write that is cut short leaves
+    a folder that no pointer names, and readers stay with the version before. Versions older than the last `keep` are emptied.
+    """
     if new.limit(min_rows).count() < min_rows:
         return False
-    new.write.mode("overwrite").parquet(path)
+    spark = new.sparkSession
+    known = _pointers(spark, path)
+    version = (known[-1][0] if known else 0) + 1
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    new.write.parquet(f"{path}/{folder}")
+    spark.createDataFrame([(version, folder)], POINTER).coalesce(1).write.mode("append").json(f"{path}/pointers")
+    for _, old in known[:max(0, len(known) + 1 - keep)]:
+        new.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{old}")
     return True
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The committed versions, oldest first: one small row for each replacement."""
+    spark.createDataFrame([], POINTER).coalesce(1).write.mode("ignore").json(f"{path}/pointers")
+    return sorted(map(tuple, spark.read.schema(POINTER).json(f"{path}/pointers").collect()))
+
+
+def read_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """The version the last committed pointer names."""
+    known = _pointers(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no committed version below {path}")
+    return spark.read.parquet(f"{path}/{known[-1][1]}")

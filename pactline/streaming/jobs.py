@@ -32,13 +32,6 @@ def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], mode: s
     q.awaitTermination()
 
 
-def overwrite_into(path: str) -> Callable[[DataFrame, int], None]:
-    """Writer for complete-mode results: each batch replaces the table."""
-    def write(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(path)
-    return write
-
-
 def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
     """Writer for append and update results: a re-run batch replaces its own folder, so delivery is exactly once."""
     def write(df: DataFrame, batch: int) -> None:
@@ -52,24 +45,6 @@ def result(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ingest
-def insert_new(store: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Insert-or-ignore by key: rows of the batch whose key is in no other batch of the store."""
-    def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
-        fs = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-            old = spark.read.parquet(store).where(F.col("batch") != batch).select(key)
-            fresh = fresh.join(old, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch}")
-    return write
-
-
-def deduped(stream: DataFrame, key: str, at: str, delay: str = "7 days") -> DataFrame:
-    """Drop repeats of a key that arrive within the watermark; the store check handles older ones."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
-
-
 def fresh_rows(stream: DataFrame, at: str, fetched: Column, max_age_days: int) -> DataFrame:
     """Late rows within the allowed age; times more than a day ahead are re-stamped."""
     when = dates.published_or_fetched(F.col(at), fetched)
@@ -78,23 +53,24 @@ def fresh_rows(stream: DataFrame, at: str, fetched: Column, max_age_days: int) -
 
 
 # ---------------------------------------------------------------- aggregates
-def daily_counts(stream: DataFrame, at: str, by: str, zone: str = dates.LOCAL_ZONE, delay: str = "1 day") -> DataFrame:
-    """Rows per local calendar day and key."""
-    local = stream.withWatermark(at, delay).withColumn("day", dates.local_day(F.col(at), zone))
-    return local.groupBy("day", by).agg(F.count(F.lit(1)).alias("n"))
+def day_members(stream: DataFrame, at: str, key: str, member: str, delay: str = "8 days") -> DataFrame:
+    """Each (day, key, member) once, in append mode. State is bounded by the watermark; rows later than that are dropped and counted in
+    the progress of the query."""
+    rows = stream.select(F.date_trunc("day", F.col(at)).alias("day"), key, member).where("day is not null")
+    return rows.withWatermark("day", delay).dropDuplicates(["day", key, member])
 
 
-def trailing_trend(stream: DataFrame, at: str, key: str, member: str, days: int = 7) -> DataFrame:
-    """Distinct (member, day) pairs of a key over a trailing window that moves by one day."""
-    day = F.date_trunc("day", F.col(at))
-    once = stream.withColumn("day", day).withWatermark("day", "8 days").dropDuplicates(["day", key, member])
-    return once.groupBy(F.window("day", f"{days} days", "1 day"), key).agg(F.count(F.lit(1)).alias("n")).select(
-        F.to_date("window.end").alias("until"), key, "n")
+def member_counts(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer that adds a batch's new members up by day and key."""
+    write = batch_folder(path)
+    return lambda df, batch: write(df.groupBy("day", key).agg(F.count(F.lit(1)).alias("n")), batch)
 
 
-def first_seen(stream: DataFrame, key: str, at: str) -> DataFrame:
-    """First time every key was seen; the aggregation state survives restarts."""
-    return stream.groupBy(key).agg(F.min(at).alias("first_seen"))
+def trailing(counts: DataFrame, key: str, days: int = 7) -> DataFrame:
+    """(until, key, n): members are distinct inside a day, so a window that moves by one day is the sum of its days."""
+    ends = F.explode(F.sequence(F.lit(1), F.lit(days)))
+    moved = counts.groupBy("day", key).agg(F.sum("n").alias("n")).select(key, "n", "day", ends.alias("k"))
+    return moved.groupBy(F.date_add(F.to_date("day"), F.col("k")).alias("until"), key).agg(F.sum("n").alias("n"))
 
 
 def alerts(batch: DataFrame, terms: DataFrame, key: str, text: str, group: str) -> DataFrame:
