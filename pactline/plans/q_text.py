@@ -33,14 +33,12 @@ _ENT = "html"
 for _tag in ("<script.*?</script>", "<style.*?</style>", "<!--.*?-->", "<[a-zA-Z/!?][^>]*>"):
     _ENT = f"regexp_replace({_ENT},'{_tag}',' ','gs')"
 for _name, _char in text.ENTITIES.items():
-    if _name not in ("apos", "nbsp", "lt", "gt"):
-        _ENT = f"replace({_ENT},'&{_name};','{_char}')"
+    _ENT = f"replace({_ENT},'&{_name};','{ {'apos': chr(39) * 2, 'nbsp': ' '}.get(_name, _char) }')"
 
 
-@job("clean_text", f"SELECT page_id, trim(regexp_replace({_ENT},'\\s+',' ','g')) AS body FROM pages WHERE NOT regexp_matches(html, '&(#|lt;|gt;|apos;|nbsp;)')")
+@job("clean_text", f"SELECT page_id, trim(regexp_replace({_ENT},'\\s+',' ','g')) AS body FROM pages")
 def _(spark, sf):
-    p = table(spark, sf, "pages").where(~F.col("html").rlike("&(?:#|lt;|gt;|apos;|nbsp;)"))
-    return p.select("page_id", text.html_text(F.col("html")).alias("body"))
+    return table(spark, sf, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
 _CUT = "substr(trim(text),1,299)"
@@ -86,10 +84,10 @@ def _(spark, sf):
 
 
 @job("norm_headline", q("it", "SELECT id, CASE kind WHEN 1 THEN lower(a)||' complete acquire '||lower(b) WHEN 2 THEN lower(b)||' agree acquire '||lower(a) WHEN 3 THEN lower(a)||' talk acquire '||lower(b) "
-                        "WHEN 5 THEN lower(a)||' '||lower(b)||' merge' END AS tokens FROM it WHERE kind IN (1,2,3,5)"))
+                        "WHEN 5 THEN lower(a)||' '||lower(b)||' merge' WHEN 0 THEN lower(a)||' acquire '||seg||' '||lower(b)||' usd'||lower(substr(p,2)) "
+                        "ELSE CASE WHEN seg='wealth management' THEN lower(a)||' acquire usd'||lower(substr(p,2))||' '||lower(b) ELSE lower(a)||' take minority stake '||lower(b) END END AS tokens FROM it"))
 def _(spark, sf):
-    i = shared.items(spark, sf).where("kind in (1, 2, 3, 5)")
-    return i.select("id", joined(similarity.headline_tokens(F.col("title")), " ").alias("tokens"))
+    return shared.items(spark, sf).select("id", joined(similarity.headline_tokens(F.col("title")), " ").alias("tokens"))
 
 
 @job("norm_adviser_numbers", "SELECT c_custkey, CASE WHEN c_custkey%3=0 THEN NULL ELSE abs(round(c_acctbal*100))/100 END AS amount, CAST(CASE WHEN c_custkey%2=0 THEN c_custkey%500+100 ELSE c_custkey%90 END AS BIGINT) AS clients, c_nationkey+1 AS offices FROM customer")
@@ -212,13 +210,13 @@ def _(spark, sf):
 # ---------------------------------------------------------------- industries
 @job("tag_industries", q("it", "SELECT id, industry AS industries FROM it"))
 def _(spark, sf):
-    return industry.tag(frames.articles(spark, sf).where("kind < 6")).select("id", joined("industries").alias("industries"))
+    return industry.tag(dl.parse_deals(frames.articles(spark, sf))).select("id", joined("industries").alias("industries"))
 
 
 @job("tag_primary", q("it", "SELECT id, CASE WHEN source='outlet_3' AND industry NOT LIKE 'Wealth%' THEN 'Energy & Utilities' ELSE industry END AS category FROM it"))
 def _(spark, sf):
     hints = frames.source_config(spark, sf).select(F.col("name").alias("source"), F.col("industry").alias("hint"))
-    i = frames.articles(spark, sf).where("kind < 6").join(small_side(hints), "source", "left")
+    i = dl.parse_deals(frames.articles(spark, sf)).join(small_side(hints), "source", "left")
     return industry.tag(i, hint="hint").select("id", "category")
 
 
@@ -234,9 +232,9 @@ def _(spark, sf):
     return a.groupBy("alias", "crd").agg(F.max("is_full").alias("is_full"))
 
 
-@job("firm_tokens", q("art", "SELECT id, len(string_split(title,' ')) AS tokens, lower(string_split(title,' ')[1]) AS first FROM art WHERE strpos(title,'$')=0"))
+@job("firm_tokens", q("art", "SELECT id, len(string_split(title,' ')) AS tokens, lower(string_split(title,' ')[1]) AS first FROM art"))
 def _(spark, sf):
-    t = firms.token_rows(frames.articles(spark, sf).where(~F.contains("title", F.lit("$"))), "id", "title")
+    t = firms.token_rows(frames.articles(spark, sf), "id", "title")
     return t.groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.min_by("token", "pos").alias("first"))
 
 
