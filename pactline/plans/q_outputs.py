@@ -145,7 +145,7 @@ def _(spark, sf):
     s = s.withColumns({"headline": F.when(every(7), "").otherwise(F.col("headline")), "url": F.when(every(11), "ftp://x").otherwise(F.col("url")),
                        "outlet_count": F.when(every(13), 0).otherwise(F.col("outlet_count")), "deal": F.when(every(17), F.col("deal").withField("stage", F.lit("maybe"))).otherwise(F.col("deal")),
                        "first_published": F.when(every(19), F.col("last_published") + F.make_dt_interval(F.lit(1))).otherwise(F.col("first_published"))})
-    return quality.measured_write(s, outputs.CONTRACT, "id", f"{jobs.work_folder(spark)}/stories").select("rule", "checked", "broken")
+    return quality.measured_write(s, outputs.story_rules(), "id", f"{jobs.work_folder(spark)}/stories").select("rule", "checked", "broken")
 
 
 @job("dq_private_overlap", "SELECT count(DISTINCT doc_id) AS leaking, count(*) AS pairs FROM documents JOIN benchmark ON length(trim(benchmark.text))>=40 AND contains(documents.text, trim(benchmark.text))")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import __spark_entry__ as e
@@ -19,3 +21,10 @@ def test_query_equals_sql(spark, key):
     cur = con.execute(e.oracle_sql()[key])
     names = [c[0] for c in cur.description]
     assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
+
+
+def test_the_entry_module_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
