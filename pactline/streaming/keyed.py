@@ -6,16 +6,21 @@ batch. The processors need the RocksDB state store, which `keyed_state` sets for
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dates
 
+# Python workers need no copy of the package: what they run is sent to them whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -7,16 +7,21 @@ keys are read for the exact comparison. A batch that runs again replaces its own
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS_PER_KEY, HASHES = 12, 6
 INDEX = "bucket int, batch long, bits binary"
 
+# Python workers need no copy of the package: what they run is sent to them whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def bloom(h1: np.ndarray, h2: np.ndarray, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> bytes:
     """The bit array of keys given by two 64-bit hashes each."""
