@@ -382,7 +382,7 @@ def _(spark, sf):
      "SELECT id, min(label) AS component FROM r GROUP BY 1")
 def _(spark, sf):
     it = _same_deal(spark, sf)
-    return graph.merge_components(it, similarity.same_deal_edges(it)).select("id", "component")
+    return graph.merge_components(it, similarity.same_deal_links(it)).select("id", "component")
 
 
 @job("cluster_stories", f"SELECT o_orderkey*2 AS id, o_orderkey*2 AS cluster_id FROM orders UNION ALL SELECT o_orderkey*2+1, CASE WHEN {_LINKED} AND o_orderkey%13<>0 THEN o_orderkey*2 ELSE o_orderkey*2+1 END FROM orders")
