@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..rules import REGIONS
+from . import search_index
 
 _WORD = r"[\p{L}\p{N}_$&.'-]+"
 
@@ -37,11 +38,25 @@ def search_words(c: DataFrame) -> Column:
     """Lower-case words of headline, firms, outlets, industries and parties of a story."""
     text = F.concat_ws(" ", "headline", F.transform("firms", lambda f: f["name"]), F.transform("sources", lambda s: s["name"]),
                        "industries", "deal.acquirer", "deal.target")
+    return words_in(text)
+
+
+def words_in(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
 
 
-def filter_feed(clusters: DataFrame, query: FeedQuery, watched: DataFrame | None = None) -> DataFrame:
-    """Stories that pass every set filter; every term must start some word."""
+def query_terms(q: str) -> list[str]:
+    """Lower-case terms of a search text without punctuation at their ends."""
+    terms = [t.strip(".'-") for t in re.findall(r"[\w$&.'-]+", q.lower())]
+    return [t for t in terms if t]
+
+
+def filter_feed(clusters: DataFrame, query: FeedQuery, watched: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """Stories that pass every set filter; every term must start some word.
+
+    With `index`, a folder written by `search_index.write_index` over the same stories, the terms are looked up there and
+    no text is scanned.
+    """
     out = clusters.where(matches_industry(F.col("industries"), query.industries))
     if query.outlet:
         out = out.where(F.exists("sources", lambda s: s["name"] == query.outlet))
@@ -51,12 +66,14 @@ def filter_feed(clusters: DataFrame, query: FeedQuery, watched: DataFrame | None
         out = out.where(dates.local_day(F.col("last_published")) >= F.lit(query.day_from).cast("date"))
     if query.day_to:
         out = out.where(dates.local_day(F.col("first_published")) <= F.lit(query.day_to).cast("date"))
-    terms = [t.strip(".'-") for t in re.findall(r"[\w$&.'-]+", query.q.lower())]
-    terms = [t for t in terms if t]
-    if terms:
+    terms = query_terms(query.q)
+    if terms and index:
+        out = out.join(search_index.find(clusters.sparkSession, index, terms), "id", "left_semi")
+    elif terms:
         out = out.withColumn("_words", search_words(out))
+        starts = lambda t: F.exists("_words", lambda w: F.startswith(w, F.lit(t)))
         for t in terms:
-            out = out.where(F.exists("_words", lambda w, t=t: F.startswith(w, F.lit(t))))
+            out = out.where(starts(t))
         out = out.drop("_words")
     if query.watched_only:
         out = out.join(watched.select("id"), "id", "left_semi")

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import feed, firms, geo, industry, quality, rollups, wealth
+from ..operators import feed, firms, geo, industry, map_index, quality, rollups, wealth
 from ..sources import advisers as adv_src
 from ..sources import feeds
+from ..streaming import jobs
 from . import frames, shared
 from .frames import table
 from .oracle import _ZIP, MONDAY, NOW_TS, START, TODAY, day, q, ts
@@ -299,7 +300,9 @@ def _(spark, sf):
 @job("topk_viewport", "SELECT s_suppkey FROM supplier WHERE s_suppkey%975 BETWEEN 0 AND 600 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
 def _(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 975).cast("double").alias("x"), F.lit(1.0).alias("y"), F.col("s_acctbal").alias("aum_usd"))
-    return geo.viewport(s, 0, 0, 600, 10).orderBy(F.desc("aum_usd"), "s_suppkey").limit(10).select("s_suppkey")
+    path = jobs.work_folder(spark)
+    map_index.write_map(s, path)
+    return map_index.box(spark, path, 0, 0, 600, 10).orderBy(F.desc("aum_usd"), "s_suppkey").limit(10).select("s_suppkey")
 
 
 _PT = "pt AS (SELECT p_partkey, (p_partkey*17%9750)/10.0 AS px, (p_partkey*31%6100)/10.0 AS py FROM part), sp AS (SELECT s_suppkey, (s_suppkey*53%9750)/10.0 AS x, (s_suppkey*29%6100)/10.0 AS y FROM supplier)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, urls
 from ..operators import deals as dl
-from ..operators import feed, firms, geo, industry, quality, rollups
+from ..operators import feed, firms, geo, industry, map_index, quality, rollups, search_index
 from ..rules import industry_rule_table
 from ..sources import advisers as adv_src
 from ..sources import feeds, sinks
@@ -216,6 +216,15 @@ def _(spark, sf):
     return out.where(F.lower("deal.acquirer").like("b%")).select(F.col("id").alias("cluster_id"))
 
 
+@job("feed_prefix_search", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_$&.''-]+')) AS w FROM documents) SELECT doc_id FROM w GROUP BY 1 "
+     "HAVING bool_or(starts_with(w,'a')) AND bool_or(starts_with(w,'th')) AND bool_or(starts_with(w,'1'))")
+def _(spark, sf):
+    """Documents with words that start with each of four terms, by an index over all of them; one term implies another."""
+    path = jobs.work_folder(spark)
+    search_index.write_index(table(spark, sf, "documents"), feed.words_in(F.col("text")), path, "doc_id")
+    return search_index.find(spark, path, feed.query_terms("A th, t 1")).select(F.col("id").alias("doc_id"))
+
+
 @job("filter_region", q("cl adv", "SELECT cluster_id FROM cl WHERE EXISTS (SELECT 1 FROM adv WHERE n IN (acq_crd, tgt_crd) AND state IN ('WA','OR','ID'))"))
 def _(spark, sf):
     out = feed.filter_feed(shared.snapshot(spark, sf), feed.FeedQuery(region="Pacific Northwest"))
@@ -239,7 +248,9 @@ def _(spark, sf):
 def _(spark, sf):
     s = table(spark, sf, "supplier").select((F.col("s_suppkey") % 975).cast("double").alias("x"), (F.col("s_suppkey") * 7 % 610).cast("double").alias("y"),
                                             F.col("s_acctbal").alias("aum_usd"))
-    t = geo.viewport_totals(geo.viewport(s, 100, 50, 600, 400))
+    path = jobs.work_folder(spark)
+    map_index.write_map(s, path)
+    t = geo.viewport_totals(map_index.box(spark, path, 100, 50, 600, 400))
     return t.select("advisers", F.col("aum_usd").alias("total"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, text, urls
+from ..functions import dates, money, sql, text, urls
 from ..operators import amounts, feed, firms, geo, graph, industry, rollups, similarity, stories, wealth
 from ..operators import deals as dl
 from ..sources import advisers as adv_src
@@ -24,6 +24,21 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
 
 
+@job("sql_functions",
+     "WITH p AS (SELECT page_id, lower(regexp_extract(url,'^https?://([^/?#]+)',1)) AS host, regexp_extract(html,'<h1>(.*?)</h1>',1,'s') AS h, url FROM pages) SELECT page_id, "
+     "regexp_replace(host,'^www\\.','') AS host, lower(regexp_extract(url,'^(https?://[^/?#]+)',1))||rtrim(regexp_extract(url,'^https?://[^/?#]+([^?#]*)',1),'/')||"
+     "CASE WHEN regexp_extract(url,'\\?([^#]*)',1) IN ('','utm_source=feed') THEN '' ELSE '?'||regexp_extract(url,'\\?([^#]*)',1) END AS canonical_url, "
+     "trim(regexp_replace(lower(h),'[^a-z0-9]+',' ','g')) AS headline, len(list_filter(string_split(trim(regexp_replace(lower(h),'[^a-z0-9]+',' ','g')),' '), lambda w: w<>'')) AS words FROM p")
+def _(spark, sf):
+    """Pages by SQL text alone: functions for addresses and headlines, and a table function in a lateral join."""
+    sql.register(spark)
+    pages = table(spark, sf, "pages")
+    return spark.sql(
+        r"with p as (select page_id, url, regexp_extract(html, r'(?s)<h1>(.*?)</h1>', 1) as h from {pages}) "
+        "select page_id, url_bare_host(url) as host, url_canonical(url) as canonical_url, headline_norm(h) as headline, "
+        "(select count(*) from headline_words(h)) as words from p", pages=pages)
+
+
 @job("clean_urls", "SELECT page_id, regexp_replace(regexp_replace(url,'#.*$',''),'\\?utm_source=feed$','') AS link FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.clean_link(F.col("url")).alias("link"))
