@@ -92,3 +92,19 @@ under, via, through, into, said, reportedly, report"""
 FIRM_NOUNS = """ria, rias, firm, practice, family office, advisor, advisors, adviser, advisers, partners, wealth, capital, management, financial,
 holdings, inc, llc, corp, company, group"""
 PERSON_NOUNS = "advisor, advisors, adviser, advisers, broker, brokers, banker, bankers, rep, reps, planner, planners, executive, executives"
+
+# ---- party names: nouns that describe a party before or instead of its name, words before names, and words that are no party
+DESCRIPTORS = """supplier, provider, maker, startup, start-up, firm, company, developer, operator, platform, specialist, manufacturer, distributor,
+producer, retailer, chain, brand, lender, insurer, broker, brokerage, consultancy, agency, ria, practice, office, manager, owner, rival,
+unit, business, biz, subsidiary, division, group, outfit, shop, player, vendor, carrier, consolidator, aggregator, adviser, advisor, bank,
+services, solutions, partner, investor"""
+TITLE_DESCRIPTORS = "ria, firm, platform, practice, provider, startup, consolidator, aggregator"
+ENDING_DESCRIPTORS = "bank, boutique, lender, insurer, manufacturer, maker, developer"
+BEFORE_NAMES = "aum, a, an, us, u.s, uk, u.k, eu, former, rival, fellow"
+PLACES = """us, uk, america, india, china, japan, germany, france, canada, europe, brazil, australia, britain, italy, spain, mexico, korea, singapore,
+israel, ireland, switzerland, sweden, netherlands, dutch, swiss, chinese, indian"""
+NOT_PARTIES = """no, yes, this, that, these, those, it, they, we, he, she, here, there, report, reports, sources, exclusive, update, breaking, deal, deals,
+acquisition, merger, m&a"""
+GENERIC_PARTIES = """ria, rias, firm, firms, team, teams, advisor, advisors, adviser, advisers, practice, wealth, manager, managers, business, shop, office,
+family, multifamily, independent, hybrid, rival, two, three, another, stake, minority, majority, undisclosed, breakaway, consolidator,
+acquirer, group, partners, company, platform, startup, unit, provider, planning, financial, bank"""
