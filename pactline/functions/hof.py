@@ -29,12 +29,6 @@ def first_where(items: Column, test: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 
 
-def drop_before(items: Column, i: Column) -> Column:
-    """Elements from zero-based `i` on; nothing when `i` is null or past the end."""
-    n = F.size(items) - i
-    return F.when(n > 0, F.slice(items, i + 1, F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-
-
 def one_of(col: Column, words) -> Column:
     """Membership in a fixed word list as a single anchored pattern (one plan node instead of one per word)."""
     return col.rlike("^(?:" + "|".join(re.escape(w) for w in words) + ")$")

@@ -11,7 +11,6 @@ import re
 from pyspark.sql import Column
 
 MONEY = r"\$[\d.,]+(?:\s*[a-zA-Z]{1,8})?\+?"
-CAPITAL = r"(?-i:[A-Z])[\w.&'’-]*"
 _SIGNS = {"#": r"\d[\d.,]*", "$": MONEY, "_": r"\w+"}
 
 
@@ -45,25 +44,3 @@ def in_order(*lists: str, gap: int | None = None) -> str:
 def says(text: Column, *patterns: str) -> Column:
     """Whether any of the patterns stands in the text, in any case."""
     return text.rlike("(?i)" + "|".join(patterns))
-
-
-def required(text: str) -> str:
-    return one_phrase(text) + r"\s+"
-
-
-def optional(text: str) -> str:
-    return rf"(?:{one_phrase(text)}\s+)?"
-
-
-def repeated(text: str) -> str:
-    return rf"(?:{one_phrase(text)}\s+)*"
-
-
-def filler(n: int, signs: str = "’'-") -> str:
-    """Up to `n` words, as few as possible."""
-    return rf"(?:[\w{re.escape(signs)}]+\s+){{0,{n}}}?"
-
-
-def name_run(more: int) -> str:
-    """A capitalised word and up to `more` further ones."""
-    return rf"{CAPITAL}(?:\s+{CAPITAL}){{0,{more}}}"
