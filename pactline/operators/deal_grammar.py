@@ -9,12 +9,9 @@ number of tokens, so a party is a slice of the token array. Words are looked up
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.hof import let
 from ..functions.phrases import listed
 
 # Letters of the cue alphabet with their words. The words are fixed values.
@@ -74,28 +71,42 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(t, "([—–])", " $1 "), r"\s+"), lambda w: w != "")
 
 
+ENDS = (",", ";", ":", "(", ")", "-", "–", "—", "...")
+POSSESSIVE = ("'s", "’s")
+
+
 def bare(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(".!\"“”'‘’")))
 
 
-ENDS = (",", ";", ":", "(", ")", "-", "–", "—", "...")
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def among(what: str, words) -> str:
+    """SQL: whether `what` is one of the words (a list, or comma-separated text)."""
+    return f"{what} IN ({', '.join(text(w) for w in (listed(words) if isinstance(words, str) else words))})"
 
-def lettered(words: Column, letter) -> Column:
-    """`letter(word, bare word)` of every token, as one string; the bare word is computed once."""
-    return F.array_join(F.transform(words, lambda w: let(bare(w), lambda low: letter(w, low))), "")
 
+def like(what: str, pattern: str) -> str:
+    return f"{what} RLIKE {text(pattern)}"
 
-def typed(words: Column, table: dict[str, str]) -> Column:
-    """One letter per token, as one string."""
-    def letter(w: Column, low: Column) -> Column:
-        other = (F.when(w.rlike(_MONEY) | low.isin(*listed(_UNIT)), "$").when(w.rlike(r"^\d[\d.]*%$"), "%")
-                 .when(w.isin("'s", "’s"), "'").when(w.isin(*ENDS), ",")
-                 .when(w.rlike(r"^[\d.,]+(?:st|nd|rd|th)?$"), "#")
-                 .when(w.rlike(r"^(?:[\p{Lu}\d“\"]|\p{Ll}+\p{Lu})"), "N").otherwise("x"))
-        return reduce(lambda out, kv: F.when(low.isin(*listed(kv[1])), kv[0]).otherwise(out), reversed(table.items()), other)
 
-    return lettered(words, letter)
+def lettered(words: str, cases: list[tuple[str, str]], rest: str = "x") -> Column:
+    """One letter per token of the array column `words`, as one string: that of the first SQL condition on `w` (the token) and `low`
+    (its bare form, computed once) that holds. Written as SQL text: word lists as columns would take seconds to build."""
+    low = f"lower(trim(BOTH {text('.!“”‘’' + chr(34) + chr(39))} FROM w))"
+    tests = " ".join(f"WHEN {condition} THEN {text(letter)}" for condition, letter in cases)
+    return F.expr(f"array_join(transform({words}, w -> transform(array({low}), low -> CASE {tests} ELSE '{rest}' END)[0]), '')")
+
+
+def typed(words: str, table: dict[str, str]) -> Column:
+    """The letters of the cue alphabet; # numbers, N capitalised words."""
+    signs = [(f"{like('w', _MONEY)} OR {among('low', _UNIT)}", "$"), (like("w", r"^\d[\d.]*%$"), "%"), (among("w", POSSESSIVE), "'"),
+             (among("w", ENDS), ","), (like("w", r"^[\d.,]+(?:st|nd|rd|th)?$"), "#"),
+             (like("w", r"^(?:[\p{Lu}\d“\"]|\p{Ll}+\p{Lu})"), "N")]
+    return lettered(words, [(among("low", listing), letter) for letter, listing in table.items()] + signs)
 
 
 @dataclass(frozen=True)
@@ -167,25 +178,24 @@ FRAMES: list[Frame] = [
 ]
 
 
-def read(f: Frame, code: Column) -> Column:
-    """struct<kind, strength, a, b, s>; a role is the first token and the number of tokens, (1, 0) where it is missing. Null: no fit."""
-    def length(i: int) -> Column:
-        return F.length(F.regexp_extract(code, f.pattern, i + 1))
+def read(f: Frame, code: str) -> str:
+    """SQL: struct<kind, strength, a, b, s>; a role is its first token and number of tokens, (1, 0) where it is missing. Null: no fit."""
+    sizes = [f"length(regexp_extract({code}, {text(f.pattern)}, {i + 1}))" for i in range(len(f.parts))]
+    at = {role: f"named_struct('start', {' + '.join(['1', *sizes[:i]])}, 'size', {sizes[i]})" for i, role in enumerate(f.roles)}
+    roles = ", ".join(f"'{r}', {at.get(r, _MISSING)}" for r in "abs")
+    return f"CASE WHEN {like(code, f.pattern)} THEN named_struct('kind', '{f.kind}', 'strength', '{f.strength}', {roles}) END"
+
 
-    found = {}
-    start: Column = F.lit(1)
-    for i, role in enumerate(f.roles):
-        if role != ".":
-            found[role] = F.struct(start.alias("start"), length(i).alias("size"))
-        start = start + length(i)
-    nothing = F.struct(F.lit(1).alias("start"), F.lit(0).alias("size"))
-    return F.when(code.rlike(f.pattern), F.struct(F.lit(f.kind).alias("kind"), F.lit(f.strength).alias("strength"),
-                                                   *[found.get(r, nothing).alias(r) for r in "abs"]))
+_MISSING = "named_struct('start', 1, 'size', 0)"
 
 
-def readings(frames: list[Frame], code: Column) -> Column:
+def readings(frames: list[Frame], code: str) -> Column:
     """The frames that fit, in their order."""
-    return F.array_compact(F.array(*[read(f, code) for f in frames]))
+    return F.expr(f"array_compact(array({', '.join(read(f, code) for f in frames)}))")
+
+
+def first_reading(frames: list[Frame], code: str) -> Column:
+    return F.expr(f"coalesce({', '.join(read(f, code) for f in frames)})")
 
 
 def phrase(words: Column) -> Column:
