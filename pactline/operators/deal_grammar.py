@@ -98,7 +98,7 @@ def lettered(words: str, cases: list[tuple[str, str]], rest: str = "x") -> Colum
     (its bare form, computed once) that holds. Written as SQL text: word lists as columns would take seconds to build."""
     low = f"lower(trim(BOTH {text('.!“”‘’' + chr(34) + chr(39))} FROM w))"
     tests = " ".join(f"WHEN {condition} THEN {text(letter)}" for condition, letter in cases)
-    return F.expr(f"array_join(transform({words}, w -> transform(array({low}), low -> CASE {tests} ELSE '{rest}' END)[0]), '')")
+    return F.expr(f"array_join(zip_with({words}, transform({words}, w -> {low}), (w, low) -> CASE {tests} ELSE '{rest}' END), '')")
 
 
 def typed(words: str, table: dict[str, str]) -> Column:
@@ -150,8 +150,8 @@ FRAMES: list[Frame] = [
     frame("recapitalization", "b.a", _SOME, "(?:[cn]?A?r(?:i|Ly)|Ri)", _REST),
     frame("recapitalization", "a.b", _SOME, "[Lc]A?re", _REST),
     # mergers
-    frame("merger", "a.b.", _SOME, "&|,&?", _SOME, "(?:(?:at|a|t|v)*m|[nc]A?[^,]?M|IMV|M)(?![ei])"),
-    frame("merger", "a.b.", _SOME, "&|,&?", _SOME, "(?:at|a|t|v)*m(?=t|I|$)"),
+    frame("merger", "a.b.", _SOME, "&|,&?", _SOME, "(?:[atv]*m|[nc]A?[^,]?M|IMV|M)(?![ei])"),
+    frame("merger", "a.b.", _SOME, "&|,&?", _SOME, "[atv]*m(?=t|I|$)"),
     frame("merger", "a.b", _SOME, "(?:at|t|v)*mi|[cn]A?J*MG?i|nI?A?J*Gtmi", _REST),
     # agreements, completions, bids and talks
     frame(DEAL, "a.b", _SOME, f"(?:[nw]I?|I)A?J*[GM]*[G1]t{_BUY}", _REST),
