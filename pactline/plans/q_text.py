@@ -302,11 +302,24 @@ def _keyed(spark, sf):
     return shared.items(spark, sf).join(stories.title_firms(shared.links(spark, sf)), "id", "left")
 
 
+# Numbers as words of consonants, a different one for every number: hashes of so few letters meet by chance in large tables.
+_SIXTEEN, _THIRTY_TWO = "bcdfghjklmnpqrtv", "bcdfghjklmnpqrtvwxzαβγδεζηθκλμνξ"
+
+
+def _word(k, i):
+    """Word i (0 to 8) of order k, six letters."""
+    return F.translate(F.lpad(F.conv(k * 9 + i, 10, 32), 6, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _THIRTY_TWO)
+
+
+def _brand(number):
+    return F.initcap(F.translate(F.lpad(F.hex(number), 10, "0"), "0123456789ABCDEF", _SIXTEEN))
+
+
 # Two headlines per order: the second holds the first's five made-up words and up to two more, so its edit distances are
 # differences in length; every eleventh shares one word only. Times differ by whole days, and every thirteenth pair has one source.
 def _extended(spark, sf):
     k = F.col("o_orderkey")
-    word = lambda i: F.translate(F.substring(F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(i)))), 1, 6), "0123456789abcdef", "bcdfghjklmnpqrtv")
+    word = lambda i: _word(k, i)
     own = F.array(*[word(i) for i in range(5)])
     longer = F.when(k % 11 == 0, F.array(word(0), *[word(i) for i in range(5, 9)])).when(k % 3 == 0, F.concat(own, F.array(word(5)))).otherwise(
         F.concat(own, F.array(word(5), word(6))))
@@ -342,9 +355,8 @@ def _(spark, sf):
 # Deals of eight orders share a target, of sixteen an acquirer; some name no target or no acquirer.
 def _same_deal(spark, sf):
     k = F.col("o_orderkey")
-    brand = lambda c: F.initcap(F.translate(F.substring(F.md5(c.cast("string")), 1, 10), "0123456789abcdef", "bcdfghjklmnpqrtv"))
-    target = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(brand(F.floor(k / 8)), F.lit(" Holdings")))
-    acquirer = F.when(k % 5 == 0, F.lit("")).otherwise(brand(F.floor(k / 16) + 1000000))
+    target = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(_brand(F.floor(k / 8)), F.lit(" Holdings")))
+    acquirer = F.when(k % 5 == 0, F.lit("")).otherwise(_brand(F.floor(k / 16) + 1000000))
     return table(spark, sf, "orders").select(
         k.alias("id"), k.alias("component"), (F.to_timestamp(F.lit("2026-09-01")) + F.make_dt_interval((k % 13).cast("int"))).alias("published_at"),
         F.concat(F.lit("Deal for $"), ((k % 3 + 1) * 10).cast("string"), F.lit("M")).alias("title"), F.struct(acquirer.alias("acquirer"), target.alias("target")).alias("deal"))
