@@ -223,14 +223,14 @@ def _(spark, sf):
 # ---------------------------------------------------------------- industries
 @job("tag_industries", q("it", "SELECT id, industry AS industries FROM it"))
 def _(spark, sf):
-    return industry.tag(dl.parse_deals(frames.articles(spark, sf))).select("id", joined("industries").alias("industries"))
+    return dl.tagged_deals(frames.articles(spark, sf)).select("id", joined("industries").alias("industries"))
 
 
 @job("tag_primary", q("it", "SELECT id, CASE WHEN source='outlet_3' AND industry NOT LIKE 'Wealth%' THEN 'Energy & Utilities' ELSE industry END AS category FROM it"))
 def _(spark, sf):
     hints = frames.source_config(spark, sf).select(F.col("name").alias("source"), F.col("industry").alias("hint"))
-    i = dl.parse_deals(frames.articles(spark, sf)).join(small_side(hints), "source", "left")
-    return industry.tag(i, hint="hint").select("id", "category")
+    a = frames.articles(spark, sf).join(small_side(hints), "source", "left")
+    return dl.tagged_deals(a, hint="hint").select("id", "category")
 
 
 @job("tag_counts", q("it", "SELECT industry, count(*) AS n FROM it GROUP BY 1"))
