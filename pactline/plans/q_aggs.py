@@ -25,7 +25,7 @@ _WEALTH = "Wealth Management & RIAs"
 
 @job("agg_cluster_rollup", q("cl", f"SELECT cluster_id, headline, {ts('first_seen')} AS first_seen, {ts('last_published')} AS last_published, outlet_count, item_count, industry AS industries FROM cl"))
 def _(spark, sf):
-    s = shared.stories(spark, sf)
+    s = shared.stories_once(spark, sf)
     return s.select("cluster_id", "headline", sts("first_seen").alias("first_seen"), sts("last_published").alias("last_published"),
                     "outlet_count", "item_count", joined("industries").alias("industries"))
 
@@ -96,7 +96,7 @@ def _(spark, sf):
 @job("agg_feed_summary", q("cl it adv", "SELECT (SELECT count(*) FROM cl) AS stories, (SELECT count(DISTINCT source) FROM it) AS outlets, "
                            "(SELECT count(DISTINCT state) FROM adv WHERE n IN (SELECT acq_crd FROM cl UNION ALL SELECT tgt_crd FROM cl)) AS states"))
 def _(spark, sf):
-    return feed.feed_summary(shared.snapshot(spark, sf))
+    return feed.feed_summary(shared.snapshot(spark, sf, subjects=False))
 
 
 def _status(spark, sf):
@@ -228,8 +228,8 @@ def _(spark, sf):
 _TOP = f"SELECT cluster_id, headline, row_number() OVER (ORDER BY outlet_count DESC, last_published DESC, cluster_id DESC) AS rank FROM cl WHERE first_seen > {START} AND last_published >= {START} - INTERVAL 2 DAY"
 
 
-def _top(spark, sf, n=15):
-    s = shared.stories(spark, sf).withColumnRenamed("cluster_id", "id")
+def _top(spark, sf, n=15, make=shared.stories):
+    s = make(spark, sf).withColumnRenamed("cluster_id", "id")
     return feed.top_stories(s, feed.window_start(F.lit(frames.PREVIOUS).cast("timestamp"), frames.now()), n)
 
 
@@ -259,7 +259,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- ranking
 @job("topk_digest", q("cl", f"SELECT cluster_id, headline FROM ({_TOP}) WHERE rank<=25"))
 def _(spark, sf):
-    return _top(spark, sf, 25).select(F.col("id").alias("cluster_id"), "headline")
+    return _top(spark, sf, 25, shared.stories_once).select(F.col("id").alias("cluster_id"), "headline")
 
 
 @job("topk_more_items", q("cl", f"SELECT cluster_id FROM ({_TOP}) WHERE rank BETWEEN 3 AND 12"))
@@ -282,7 +282,8 @@ def _(spark, sf):
 
 @job("sort_deals_multi", q("cl", "SELECT cluster_id, acquirer FROM cl ORDER BY lower(acquirer), first_published DESC, cluster_id DESC"))
 def _(spark, sf):
-    return feed.sort_deals(shared.deals(spark, sf), "acq", ascending=True).select("cluster_id", "acquirer")
+    rows = rollups.deal_rows(shared.items_once(spark, sf), frames.WIRES)  # the order by acquirer needs no assets and no linked firms
+    return feed.sort_deals(rows, "acq", ascending=True).select("cluster_id", "acquirer")
 
 
 @job("topk_largest_deals_week", q("cl", f"SELECT cluster_id, value_usd FROM cl WHERE {day('first_published')} >= {TODAY} - 7 AND (value_usd IS NOT NULL OR (seg='wealth management' AND aum_usd IS NOT NULL)) "
