@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS
 from .common import written
 from .topk_search import _exact, _matrix
 
@@ -109,6 +110,12 @@ def _boxes(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
 
 
+def _narrowest(x: np.ndarray) -> str:
+    """The shortest whole numbers that hold the components; a reader knows them by the length of a tile."""
+    most = np.abs(x).max(initial=0)
+    return "<i2" if most < 2 ** 15 else "<i4" if most < 2 ** 31 else "<i8"
+
+
 def packed_tiles(rows: DataFrame, d: int, leaf: int = LEAF) -> DataFrame:
     """(tile, ids, labels, x, lo, hi): one written row a tile, its vectors in leaf order, with the tile's box."""
 
@@ -119,7 +126,7 @@ def packed_tiles(rows: DataFrame, d: int, leaf: int = LEAF) -> DataFrame:
         x = x[order]
         first = t.iloc[0]
         return pd.DataFrame([{"tile": f"{first['slab']}.{first['cell']}.{first['part']}", "ids": t["vec_id"].to_numpy()[order].tolist(), "labels": t["label"].to_numpy()[order].tolist(),
-                              "x": x.astype("<i8").tobytes(), "lo": x.min(0).tolist(), "hi": x.max(0).tolist()}])
+                              "x": x.astype(_narrowest(x)).tobytes(), "lo": x.min(0).tolist(), "hi": x.max(0).tolist()}])
 
     return written(rows.groupBy("slab", "cell", "part").applyInPandas(pack, "tile string, ids array<long>, labels array<long>, x binary, lo array<double>, hi array<double>"), "tiles")
 
@@ -181,6 +188,8 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
     boxes = (tiles.select("tile", "lo", "hi").withColumn("page", F.pmod(F.xxhash64("tile"), F.lit(pages)).cast("int")).groupBy("page")
              .agg(F.collect_list(F.struct("tile", "lo", "hi")).alias("boxes")))
     per_page = max(1, part)
+    # one row a tile; left to the planner, the visits (a row for each request and tile) would be collected on the driver, as their file is small
+    by_tile = lambda load: F.broadcast(load) if count <= BROADCAST_ROWS else load.hint("merge")
 
     def plan(asked: DataFrame, first_only: bool) -> DataFrame:
         """(rid, tile, most): the tiles a request may visit, from the directories in blocks of requests."""
@@ -219,8 +228,8 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
         return sent.groupBy("page", "deal").cogroup(right.groupBy("page", "deal")).applyInPandas(meet, "rid string, tile string, most double")
 
     def visit(asked: DataFrame, which: DataFrame) -> DataFrame:
-        load = which.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
-        sent = (which.join(load, "tile").join(asked, "rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+        load = by_tile(which.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts")))
+        sent = (which.join(load, "tile").join(asked.hint("merge"), "rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
                 .select("tile", "part", "rid", "q", "label", "low", "high", "least"))
         right = tiles.join(load, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tile", "part", "ids", "labels", "x")
 
@@ -228,7 +237,7 @@ def search(requests: DataFrame, tiles: DataFrame, d: int, k: int, same: bool, di
             got = []
             if len(left) and len(held):
                 row = held.iloc[0]
-                x = np.frombuffer(row["x"], "<i8").reshape(-1, d).astype(float)
+                x = np.frombuffer(row["x"], f"<i{len(row['x']) // (len(row['ids']) * d)}").reshape(-1, d).astype(float)
                 got = search_tile(_matrix(list(left["q"]), d), left["label"].to_numpy(), same, left["low"].to_numpy(), left["high"].to_numpy(), left["least"].to_numpy(),
                                   k, np.asarray(row["ids"]), np.asarray(row["labels"]), x, leaf)
             rid = left["rid"].tolist()

@@ -74,3 +74,22 @@ def test_empty_and_lonely(llm_spark):
     assert bn.hard_negatives(none, F.col("vec_id") % 100 == 0).count() == 0
     one = llm_spark.createDataFrame([(100, [1.0], 1), (3, [1.0], 2)], SCHEMA)
     assert bn.hard_negatives(one, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_the_visits_of_requests_are_never_broadcast(llm_spark, monkeypatch):
+    plans, write = [], bn.written
+    monkeypatch.setattr(bn, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    rows = rows_of(4)
+    got = bn.hard_negatives(llm_spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, tile=40, leaf=4, directory=7, part=3)
+    assert sorted(map(tuple, got.collect())) == by_force(rows)
+    met = [line for p in plans for line in p.splitlines() if "Join Inner, (tile" in line]
+    asked = [line for p in plans for line in p.splitlines() if "Join Inner, (rid" in line]
+    assert len(met) >= 8 and all("rightHint=(strategy=broadcast)" in line for line in met)
+    assert len(asked) >= 4 and all("rightHint=(strategy=merge)" in line for line in asked)
+
+
+def test_tiles_hold_the_narrowest_numbers(llm_spark):
+    for most, width in ((100.0, 2), (2.0 ** 20, 4), (2.0 ** 30, 8)):
+        df = llm_spark.createDataFrame([(1, [most, -most], 1), (2, [0.5, 1.0], 2)], SCHEMA)
+        rows = bn.prepared(df).selectExpr("*", "0 AS slab", "0 AS cell", "0 AS part")
+        assert len(bn.packed_tiles(rows, 2).first()["x"]) == 2 * 2 * width
